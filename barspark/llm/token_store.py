@@ -70,7 +70,7 @@ def train_dictionary(texts: DataFrame, tokenizer_text: str, width: int, end_id:
 
 def _write(shared, body: bytes, width: int, end_id: int):
     sha = hashlib.sha256(body).hexdigest() if body else ""
-    end = np.array([end_id], dtype="<u4").tobytes()
+    end = np.array([end_id], dtype=f"<u{width}").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(shared)
@@ -100,12 +100,9 @@ def _write(shared, body: bytes, width: int, end_id: int):
             return pa.RecordBatch.from_arrays(list(row.values()), names=list(row))
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = enc.encode(text) + end
-                n_tokens.append(len(raw) // 4)
-                if width == 2:
-                    raw = np.frombuffer(raw, "<u4").astype("<u2").tobytes()
-                frames.append(pack(raw))
+            for doc, found in zip(batch.column(0).to_pylist(), enc.encode_all(batch.column(1)), strict=True):
+                n_tokens.append(len(found) + 1)
+                frames.append(pack(found.astype(f"<u{width}").tobytes() + end))
                 offsets.append(offsets[-1] + len(frames[-1]))
                 ids.append(doc)
                 if offsets[-1] >= BLOCK_BYTES or len(ids) >= BLOCK_DOCS:

@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
 from barspark.llm.common import Memo
 
-#: Characters that Python splits at and tokenizers do not, or that join oddly.
+#: Characters that Arrow splits at and tokenizers do not, or that join oddly.
 _ODD = re.compile("[\x1c-\x1f᠎​-‍⁠﻿]")
+#: Words of these alone are normal (NFC) already and lower-case letter by letter.
+_PLAIN = re.compile("[!-~¡-ɏ]+")
 #: A tokenizer file above this size is refused, since it is broadcast.
 MOST_TOKENIZER_BYTES = 64 << 20
+#: Text of one round; its distinct words are looked up once.
+ROUND_BYTES = 4 << 20
+MOST_WORDS, MOST_PIECES = 400_000, 600_000
 
 
 def broadcast_tokenizer(spark: SparkSession, path: str) -> Broadcast:
@@ -32,49 +42,141 @@ def load_tokenizer(text: str):
     return Tokenizer.from_str(text)
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter of each byte in byte-level vocabularies.
+
+    Rule: printable Latin-1 characters stand for themselves, and the other
+    bytes, ascending, for the letters from U+0100.
+    """
+    out, more = {}, 0x100
+    for b in range(256):
+        if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b <= 0xFF:
+            out[b] = chr(b)
+        else:
+            out[b], more = chr(more), more + 1
+    return out
+
+
 class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes.
+    """Ids of whole texts as little-endian unsigned 32-bit arrays.
 
     Where the tokenizer drops white space and encodes each word by itself (it
-    is probed for that), a bounded memo holds the bytes of words seen; texts
-    with odd characters or the strings of added tokens go to the library whole,
-    as do all texts of other tokenizers.
+    is probed for that), texts are split by Arrow and each round's distinct
+    words are looked up in a bounded memo. Texts with odd characters or the
+    strings of added tokens go to the library whole, as do all texts of other
+    tokenizers.
     """
 
-    def __init__(self, text: str, most_words: int = 600_000):
+    def __init__(self, text: str):
         self.tokenizer = load_tokenizer(text)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo = Memo(most_words)
+        self.memo, self.pieces = Memo(MOST_WORDS), Memo(MOST_PIECES)
+        self.memo[""] = b""
         one, two = (self.tokenizer.encode(x, add_special_tokens=False).ids for x in ("Ab1", "c.d"))
         self.by_word = all(
             self.tokenizer.encode(f"{gap}Ab1{gap}c.d{gap}", add_special_tokens=False).ids == one + two
             for gap in (" ", "\n", " \t\r\n ", " ", " ")
         )
+        self.find = self._pre_tokens(json.loads(text)) if self.by_word else None
+        if self.find:
+            from tokenizers import Tokenizer
+
+            self.bare = Tokenizer(self.tokenizer.model)
+            # the line feed parts words here and is in none of them
+            self.letters = str.maketrans(byte_letters() | {0x0A: "\n"})
+
+    @staticmethod
+    def _pre_tokens(spec: dict):
+        """The finder of pre-tokens in a lower-cased plain word, if the file has these steps."""
+        steps = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+        split, level = ((spec.get("pre_tokenizer") or {}).get("pretokenizers", []) + [{}, {}])[:2]
+        fits = (
+            steps == ["NFC", "Replace", "Lowercase"]
+            and split.get("type") == "Split"
+            and (split.get("behavior"), split.get("invert")) == ("Removed", True)
+            and "Regex" in split.get("pattern", {})
+            and level.get("type") == "ByteLevel"
+            and not level.get("add_prefix_space")
+            and not level.get("use_regex", True)
+        )
+        return regex.compile(split["pattern"]["Regex"]).findall if fits else None
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
-    def _learn(self, new: list[str]) -> None:
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            found = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+    @staticmethod
+    def _each(tokenizer, words: list[str]) -> Iterator[bytes]:
+        """The ids of each word by itself."""
+        for i in range(0, len(words), 20_000):
+            part = words[i : i + 20_000]
+            found = tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
             raw = np.array(found.ids, dtype="<u4").tobytes()
-            ends = np.searchsorted(np.array(found.word_ids, dtype=np.int64), np.arange(len(part) + 1)) * 4
-            self.memo.update((w, raw[a:b]) for w, a, b in zip(part, ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+            ends = (np.searchsorted(np.array(found.word_ids, dtype=np.int64), np.arange(len(part) + 1)) * 4).tolist()
+            yield from (raw[a:b] for a, b in zip(ends, ends[1:], strict=False))
 
-    def encode(self, text: str) -> bytes:
-        if not self.by_word or _ODD.search(text) or any(s in text for s in self.added):
-            return self.whole(text)
-        split = text.split()
+    def _learn(self, new: list[str]) -> None:
+        memo, pieces = self.memo, self.pieces
+        if not self.find:
+            memo.update(zip(new, self._each(self.tokenizer, new), strict=True))
+            return
+        if _PLAIN.fullmatch("".join(new)) is None:
+            odd = [w for w in new if not _PLAIN.fullmatch(w)]
+            memo.update(zip(odd, self._each(self.tokenizer, odd), strict=True))
+            new = [w for w in new if w not in memo]
+        lower = "\n".join(new).lower().split("\n") if new else []
+        # letters alone are one pre-token
+        split = [(t,) if t.isalpha() else self.find(t) for t in lower]
+        unknown = [t for t in {t for ts in split for t in ts} if t not in pieces]
+        if len(pieces) + len(unknown) > pieces.most:
+            pieces.clear()
+            unknown = list({t for ts in split for t in ts})
+        spelt = "\n".join(unknown).encode().decode("latin-1").translate(self.letters).split("\n") if unknown else []
+        pieces.update(zip(unknown, self._each(self.bare, spelt), strict=True))
+        for w, ts in zip(new, split, strict=True):
+            memo[w] = pieces[ts[0]] if len(ts) == 1 else b"".join([pieces[t] for t in ts])
+
+    def _round(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        lists = pc.utf8_split_whitespace(texts)
+        flat = lists.flatten().dictionary_encode()
+        distinct = flat.dictionary.to_pylist()
         memo = self.memo
-        try:
-            return b"".join(map(memo.__getitem__, split))
-        except KeyError:
-            pass
-        distinct = set(split)
-        memo.room(len(distinct))
+        if len(memo) + len(distinct) > memo.most:
+            memo.clear()
+            memo[""] = b""
         self._learn([w for w in distinct if w not in memo])
-        return b"".join(map(memo.__getitem__, split))
+        parts = [memo[w] for w in distinct]
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        ids = np.frombuffer(b"".join(parts), "<u4")
+        firsts = np.cumsum(sizes) - sizes
+        at = flat.indices.to_numpy()
+        n = sizes[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        whole = ids[np.repeat(firsts[at] - ends[:-1], n) + np.arange(ends[-1])]
+        bounds = ends[np.asarray(lists.offsets) - lists.offsets[0].as_py()].tolist()
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            yield whole[a:b]
+
+    def encode_all(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text, nulls as empty, in order."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if not self.by_word:
+            yield from (self.whole(t) for t in texts.to_pylist())
+            return
+        ends = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))])
+        a = 0
+        while a < len(texts):
+            b = max(a + 1, int(np.searchsorted(ends, ends[a] + ROUND_BYTES, "right")) - 1)
+            part = texts.slice(a, b - a)
+            odd = {
+                i: self.whole(t)
+                for i, t in enumerate(part.to_pylist())
+                if _ODD.search(t) or any(s in t for s in self.added)
+            }
+            if odd:
+                part = pa.array(["" if i in odd else t for i, t in enumerate(part.to_pylist())], pa.large_string())
+            for i, ids in enumerate(self._round(part)):
+                yield odd.get(i, ids)
+            a = b
 
 
 _encoders: dict[int, Encoder] = {}
