@@ -25,7 +25,7 @@ _PLAIN = re.compile("[!-~¡-ɏ]+")
 MOST_TOKENIZER_BYTES = 64 << 20
 #: Text of one round; its distinct words are looked up once.
 ROUND_BYTES = 4 << 20
-MOST_WORDS, MOST_PIECES = 400_000, 600_000
+MOST_PIECES = 900_000
 
 
 def broadcast_tokenizer(spark: SparkSession, path: str) -> Broadcast:
@@ -61,8 +61,8 @@ class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit arrays.
 
     Where the tokenizer drops white space and encodes each word by itself (it
-    is probed for that), texts are split by Arrow and each round's distinct
-    words are looked up in a bounded memo. Texts with odd characters or the
+    is probed for that), texts are split by Arrow, and each round's distinct
+    words are put together from a bounded memo of distinct pre-tokens. Texts with odd characters or the
     strings of added tokens go to the library whole, as do all texts of other
     tokenizers.
     """
@@ -70,8 +70,7 @@ class Encoder:
     def __init__(self, text: str):
         self.tokenizer = load_tokenizer(text)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo, self.pieces = Memo(MOST_WORDS), Memo(MOST_PIECES)
-        self.memo[""] = b""
+        self.pieces = Memo(MOST_PIECES)
         one, two = (self.tokenizer.encode(x, add_special_tokens=False).ids for x in ("Ab1", "c.d"))
         self.by_word = all(
             self.tokenizer.encode(f"{gap}Ab1{gap}c.d{gap}", add_special_tokens=False).ids == one + two
@@ -114,44 +113,49 @@ class Encoder:
             ends = (np.searchsorted(np.array(found.word_ids, dtype=np.int64), np.arange(len(part) + 1)) * 4).tolist()
             yield from (raw[a:b] for a, b in zip(ends, ends[1:], strict=False))
 
-    def _learn(self, new: list[str]) -> None:
-        memo, pieces = self.memo, self.pieces
+    def _know(self, names: list[str], tokenizer, spell) -> None:
+        """Have the ids of all these names in the memo."""
+        pieces = self.pieces
+        unknown = [t for t in names if t not in pieces]
+        if len(pieces) + len(unknown) > pieces.most:
+            pieces.clear()
+            unknown = names
+        if unknown:
+            pieces.update(zip(unknown, self._each(tokenizer, spell(unknown)), strict=True))
+
+    def _spell(self, names: list[str]) -> list[str]:
+        return "\n".join(names).encode().decode("latin-1").translate(self.letters).split("\n")
+
+    def _lookup(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words, in order."""
+        if not words:
+            return []
         if not self.find:
-            memo.update(zip(new, self._each(self.tokenizer, new), strict=True))
-            return
-        if _PLAIN.fullmatch("".join(new)) is None:
-            odd = [w for w in new if not _PLAIN.fullmatch(w)]
-            memo.update(zip(odd, self._each(self.tokenizer, odd), strict=True))
-            new = [w for w in new if w not in memo]
-        lower = "\n".join(new).lower().split("\n") if new else []
+            self._know([w for w in words if w], self.tokenizer, list)
+            return [self.pieces[w] if w else b"" for w in words]
+        odd: dict[str, bytes] = {}
+        if not _PLAIN.fullmatch("".join(words)):
+            strange = [w for w in words if w and not _PLAIN.fullmatch(w)]
+            odd = dict(zip(strange, self._each(self.tokenizer, strange), strict=True))
         # letters alone are one pre-token
+        lower = "\n".join(words).lower().split("\n") if not odd else [w.lower() if w not in odd else "" for w in words]
         split = [(t,) if t.isalpha() else self.find(t) for t in lower]
-        unknown = [t for t in {t for ts in split for t in ts} if t not in pieces]
-        if len(pieces) + len(unknown) > pieces.most:
-            pieces.clear()
-            unknown = list({t for ts in split for t in ts})
-        spelt = "\n".join(unknown).encode().decode("latin-1").translate(self.letters).split("\n") if unknown else []
-        pieces.update(zip(unknown, self._each(self.bare, spelt), strict=True))
-        for w, ts in zip(new, split, strict=True):
-            memo[w] = pieces[ts[0]] if len(ts) == 1 else b"".join([pieces[t] for t in ts])
+        self._know(list({t for ts in split for t in ts}), self.bare, self._spell)
+        pieces = self.pieces
+        out = [pieces[ts[0]] if len(ts) == 1 else b"".join([pieces[t] for t in ts]) for ts in split]
+        return [odd.get(w, x) for w, x in zip(words, out, strict=True)] if odd else out
 
     def _round(self, texts: pa.Array) -> Iterator[np.ndarray]:
         lists = pc.utf8_split_whitespace(texts)
         flat = lists.flatten().dictionary_encode()
-        distinct = flat.dictionary.to_pylist()
-        memo = self.memo
-        if len(memo) + len(distinct) > memo.most:
-            memo.clear()
-            memo[""] = b""
-        self._learn([w for w in distinct if w not in memo])
-        parts = [memo[w] for w in distinct]
+        parts = self._lookup(flat.dictionary.to_pylist())
         sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         ids = np.frombuffer(b"".join(parts), "<u4")
         firsts = np.cumsum(sizes) - sizes
         at = flat.indices.to_numpy()
         n = sizes[at]
         ends = np.concatenate([[0], np.cumsum(n)])
-        whole = ids[np.repeat(firsts[at] - ends[:-1], n) + np.arange(ends[-1])]
+        whole = ids[np.repeat((firsts[at] - ends[:-1]).astype(np.int32), n) + np.arange(ends[-1], dtype=np.int32)]
         bounds = ends[np.asarray(lists.offsets) - lists.offsets[0].as_py()].tolist()
         for a, b in zip(bounds, bounds[1:], strict=False):
             yield whole[a:b]
