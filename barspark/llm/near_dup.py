@@ -202,10 +202,14 @@ def _link(
         )
 
     comp = nodes.select(F.col("rep").alias("node"), F.col("rep").alias("comp"))
-    open_rows = members
+    open_rows, before = members, None
     for k in range(STAR_ROUNDS):
+        # one centre for each member and round: a round's checks are linear in its members
+        pick = F.min("centre") if not k else F.min_by("centre", F.xxhash64("centre", F.lit(k - 1)))
         star = (
             open_rows.where("rep <> centre")
+            .groupBy("rep")
+            .agg(pick.alias("centre"))
             .select(F.least("rep", "centre").alias("u"), F.greatest("rep", "centre").alias("v"))
             .distinct()
         )
@@ -230,8 +234,10 @@ def _link(
         size = parts.join(mixed.select("key", "size"), "key").agg(
             F.sum(F.col("part") * (F.col("size") - F.col("part"))).alias("cross"), F.sum("part").alias("rows")
         ).first()
-        if (size["cross"] or 0) <= 16 * (size["rows"] or 0) + 200_000:
+        cross, rows = size["cross"] or 0, size["rows"] or 0
+        if cross <= 16 * rows + 200_000 or before is not None and cross > 0.8 * before:
             break
+        before = cross
         centre = comp.select(F.col("node").alias("centre"), F.col("comp").alias("centre_comp"))
         open_rows = open_rows.join(centre, "centre").where("comp <> centre_comp").select("key", "rep", "comp", "centre")
 
