@@ -11,8 +11,8 @@ Plan, for N documents of which C lie in a bucket with another one:
 4. rounds of star checks: every member of a bucket is checked against one
    centre of it, linear in the bucket's size; links contract to components;
 5. what is left are buckets that still hold several components. Their pairs
-   across components (never those within one) are checked when set sizes and
-   bit summaries allow a link at all; nothing is capped;
+   across components (never those within one) are checked when set sizes, bit
+   summaries and sets of 32-bit hashes allow a link; nothing is capped;
 6. every check recomputes both full shingle sets from the texts.
 """
 
@@ -93,6 +93,23 @@ def _confirm(size: int, threshold: int):
     return run
 
 
+def _with_short_hashes(size: int):
+    """Add the shingle set's upper 32 bits to each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            short = [(shingle_set(x, size) >> np.uint64(32)).astype(np.uint32).view(np.int32) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(short, pa.list_(pa.int32()))], names=["rep", "text", "short"])
+
+    return run
+
+
+def _short_sets_link(threshold: int):
+    """The 32-bit sets of two sides (m_, c_) allow a link; two hashes may have met by chance."""
+    both = F.size(F.array_intersect("m_short", "c_short")) + 2
+    return 100 * both >= threshold * (F.col("m_n") + F.col("c_n") - both)
+
+
 def _may_link(threshold: int):
     """Set sizes and bit summaries of two sides (m_, c_) allow a link."""
     different = sum((F.bit_count(F.col("m_bits")[i].bitwiseXOR(F.col("c_bits")[i])) for i in range(1, BITS // 64)),
@@ -142,10 +159,11 @@ def near_duplicates(
     info = scratch.table(
         first.join(nodes, "rep", "left_semi").select("rep", F.col("n_shingles").alias("n"), "bits").distinct(), "info"
     )
+    found = own.join(nodes.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").where("text is not null")
     texts = scratch.table(
-        own.join(nodes.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
-        .where("text is not null")
-        .select(F.col("doc_id").alias("rep"), "text"),
+        found.select(F.col("doc_id").alias("rep"), "text").mapInArrow(
+            _with_short_hashes(shingle), "rep long, text string, short array<int>"
+        ),
         "texts",
     )
     comp = _link(scratch, members, nodes, info, texts, shingle, threshold)
@@ -241,16 +259,12 @@ def _link(
         centre = comp.select(F.col("node").alias("centre"), F.col("comp").alias("centre_comp"))
         open_rows = open_rows.join(centre, "centre").where("comp <> centre_comp").select("key", "rep", "comp", "centre")
 
-    rest = scratch.table(
-        open_rows.select("key", "rep", "comp").join(info, "rep").select("key", "rep", "comp", "n", "bits"), "rest"
-    )
-    a = rest.select("key", *(F.col(c).alias(f"m_{c}") for c in ("rep", "comp", "n", "bits")))
-    b = rest.select("key", *(F.col(c).alias(f"c_{c}") for c in ("rep", "comp", "n", "bits")))
+    rest = open_rows.select("key", "rep", "comp").join(info, "rep").join(texts.select("rep", "short"), "rep")
+    half = lambda p: rest.select("key", *(F.col(c).alias(f"{p}_{c}") for c in ("rep", "comp", "n", "bits", "short")))
+    a, b = half("m"), half("c")
+    apart = F.expr("m_rep < c_rep and m_comp <> c_comp")
     cross = (
-        a.join(
-            b,
-            (a["key"] == b["key"]) & F.expr("m_rep < c_rep and m_comp <> c_comp") & _may_link(threshold),
-        )
+        a.join(b, (a["key"] == b["key"]) & apart & _may_link(threshold) & _short_sets_link(threshold))
         .select(F.col("m_rep").alias("u"), F.col("c_rep").alias("v"))
         .distinct()
     )
