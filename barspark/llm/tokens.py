@@ -18,14 +18,14 @@ from pyspark.sql import SparkSession
 from barspark.llm.common import Memo
 
 #: Characters that Arrow splits at and tokenizers do not, or that join oddly.
-_ODD = re.compile("[\x1c-\x1f᠎​-‍⁠﻿]")
+_ODD = r"[\x{1C}-\x{1F}\x{180E}\x{200B}-\x{200D}\x{2060}\x{FEFF}]"
 #: Words of these alone are normal (NFC) already and lower-case letter by letter.
 _PLAIN = re.compile("[!-~¡-ɏ]+")
 #: A tokenizer file above this size is refused, since it is broadcast.
 MOST_TOKENIZER_BYTES = 64 << 20
 #: Text of one round; its distinct words are looked up once.
 ROUND_BYTES = 4 << 20
-MOST_PIECES = 900_000
+MOST_PIECES = 1_000_000
 
 
 def broadcast_tokenizer(spark: SparkSession, path: str) -> Broadcast:
@@ -106,8 +106,8 @@ class Encoder:
     @staticmethod
     def _each(tokenizer, words: list[str]) -> Iterator[bytes]:
         """The ids of each word by itself."""
-        for i in range(0, len(words), 20_000):
-            part = words[i : i + 20_000]
+        for i in range(0, len(words), 500):
+            part = words[i : i + 500]
             found = tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
             raw = np.array(found.ids, dtype="<u4").tobytes()
             ends = (np.searchsorted(np.array(found.word_ids, dtype=np.int64), np.arange(len(part) + 1)) * 4).tolist()
@@ -137,14 +137,25 @@ class Encoder:
         if not _PLAIN.fullmatch("".join(words)):
             strange = [w for w in words if w and not _PLAIN.fullmatch(w)]
             odd = dict(zip(strange, self._each(self.tokenizer, strange), strict=True))
-        # letters alone are one pre-token
         lower = "\n".join(words).lower().split("\n") if not odd else [w.lower() if w not in odd else "" for w in words]
-        split = [(t,) if t.isalpha() else self.find(t) for t in lower]
-        self._know(list({t for ts in split for t in ts}), self.bare, self._spell)
         pieces = self.pieces
-        out = [pieces[ts[0]] if len(ts) == 1 else b"".join([pieces[t] for t in ts]) for ts in split]
+        out = list(map(pieces.get, lower))  # a word that is one known pre-token
+        rest = [i for i, x in enumerate(out) if x is None]
+        split = [self._split(lower[i]) for i in rest]
+        names = {t for ts in split for t in ts}
+        self._know(list(names), self.bare, self._spell)
+        for i, ts in zip(rest, split, strict=True):
+            out[i] = pieces[ts[0]] if len(ts) == 1 else b"".join([pieces[t] for t in ts])
         return [odd.get(w, x) for w, x in zip(words, out, strict=True)] if odd else out
 
+    def _split(self, word: str):
+        """Pre-tokens of a lower-cased plain word; letters alone are one."""
+        if word.isalpha():
+            return (word,)
+        if word[-1:] in (",", ".") and word[:-1].isalpha():
+            return word[:-1], word[-1]
+        return self.find(word)
+
     def _round(self, texts: pa.Array) -> Iterator[np.ndarray]:
         lists = pc.utf8_split_whitespace(texts)
         flat = lists.flatten().dictionary_encode()
@@ -171,13 +182,12 @@ class Encoder:
         while a < len(texts):
             b = max(a + 1, int(np.searchsorted(ends, ends[a] + ROUND_BYTES, "right")) - 1)
             part = texts.slice(a, b - a)
-            odd = {
-                i: self.whole(t)
-                for i, t in enumerate(part.to_pylist())
-                if _ODD.search(t) or any(s in t for s in self.added)
-            }
+            strange = pc.match_substring_regex(part, _ODD)
+            for s in self.added:
+                strange = pc.or_(strange, pc.match_substring(part, s))
+            odd = {i: self.whole(part[i].as_py()) for i in np.flatnonzero(strange.to_numpy(zero_copy_only=False)).tolist()}
             if odd:
-                part = pa.array(["" if i in odd else t for i, t in enumerate(part.to_pylist())], pa.large_string())
+                part = pc.if_else(strange, "", part)
             for i, ids in enumerate(self._round(part)):
                 yield odd.get(i, ids)
             a = b
