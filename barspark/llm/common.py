@@ -10,7 +10,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -95,17 +95,13 @@ def mix(x: np.ndarray, seed: int) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def arrow_rows(
-    make: Callable[[dict[str, list]], dict[str, list]], schema: pa.Schema
-) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Lift a function from column lists to column lists to ``mapInArrow``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = make(batch.to_pydict())
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
-
-    return run
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that few texts are Python strings at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    # what this task's Arrow buffers held goes back before the worker idles
+    pa.default_memory_pool().release_unused()
 
 
 class Memo(dict):

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barspark.llm.common import Scratch
+from barspark.llm.common import Scratch, slices
 from barspark.llm.components import connected_components
 from barspark.llm.sketch import SHINGLE, band_keys, overlap, shingle_set, sketch
 
@@ -49,7 +49,7 @@ def _sign(size: int, bands: int, rows: int):
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             cols: dict[str, list] = {f.name: [] for f in schema}
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text, size)
@@ -78,7 +78,7 @@ def _confirm(size: int, threshold: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_text, last_set = None, None
-        for batch in batches:
+        for batch in slices(batches):
             us, vs = [], []
             for u, v, a, b in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if last_set is None or a != last_text:
@@ -97,7 +97,7 @@ def _with_short_hashes(size: int):
     """Add the shingle set's upper 32 bits to each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             short = [(shingle_set(x, size) >> np.uint64(32)).astype(np.uint32).view(np.int32) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(short, pa.list_(pa.int32()))], names=["rep", "text", "short"])
 

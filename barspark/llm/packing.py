@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barspark.llm.common import Scratch
+from barspark.llm.common import Scratch, slices
 from barspark.llm.tokens import broadcast_tokenizer, encoder
 
 CAPACITY = 2048
@@ -78,7 +78,7 @@ def _pieces(shared, capacity: int, end_id: int, with_ids: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(shared)
-        for batch in batches:
+        for batch in slices(batches, 2048):
             rows: list[tuple] = []
             for doc, ids in zip(batch.column(0).to_pylist(), enc.encode_all(batch.column(1)), strict=True):
                 raw = ids.tobytes() + end

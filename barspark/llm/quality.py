@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barspark.llm.common import words
+from barspark.llm.common import slices, words
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 _SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -66,7 +66,7 @@ def mask(rules: tuple[str, ...]) -> int:
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         rows = [measure(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
         cols = zip(*rows, strict=True) if rows else ([] for _ in MEASURES)
         yield pa.RecordBatch.from_arrays(

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barspark.llm.common import slices
+
 #: The base patterns.
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII
@@ -158,7 +160,7 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             cols: list[list] = [[] for _ in range(6)]
             for text in batch.column(1).to_pylist():
                 base, every = scan(text, scope)
@@ -192,7 +194,7 @@ def redact_documents(docs: DataFrame, *, text_col: str = "text", length_col: str
     at, size_at = docs.columns.index(text_col), docs.columns.index(length_col) if length_col in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             cols, texts = list(batch.columns), batch.column(at).to_pylist()
             sizes = cols[size_at].to_pylist() if size_at is not None else []
             for i, text in enumerate(texts):

@@ -19,7 +19,7 @@ from barspark.llm.common import Memo, mix, words
 
 SHINGLE = 5
 _LOW = np.uint64(0xFFFFFFFF)
-_word_hashes = Memo(250_000)
+_word_hashes = Memo(120_000)
 
 
 def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barspark.llm.common import Scratch
+from barspark.llm.common import Scratch, slices
 from barspark.llm.tokens import broadcast_tokenizer, load_tokenizer
 
 CHUNK_BYTES = 48 << 20
@@ -89,7 +89,7 @@ def _chunks(shared, chunk_bytes: int):
             row = [[number], [ids], [sizes], [distinct], [pack(raw)], [list(place)]]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, schema, strict=True)], schema=schema)
 
-        for batch in batches:
+        for batch in slices(batches):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = pre.split(text) if text else []
                 for t in found:

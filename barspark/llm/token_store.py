@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barspark.llm.common import Scratch
+from barspark.llm.common import Scratch, slices
 from barspark.llm.tokens import broadcast_tokenizer, encoder, load_tokenizer
 
 #: The dictionary is fitted on at most this many texts of at most that many
@@ -97,7 +97,7 @@ def _write(shared, body: bytes, width: int, end_id: int):
             }
             return pa.RecordBatch.from_arrays(list(row.values()), names=list(row))
 
-        for batch in batches:
+        for batch in slices(batches, 2048):
             for doc, found in zip(batch.column(0).to_pylist(), enc.encode_all(batch.column(1)), strict=True):
                 n_tokens.append(len(found) + 1)
                 frames.append(pack(found.astype(f"<u{width}").tobytes() + end))

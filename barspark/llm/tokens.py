@@ -25,7 +25,7 @@ _PLAIN = re.compile("[!-~¡-ɏ]+")
 MOST_TOKENIZER_BYTES = 64 << 20
 #: Text of one round; its distinct words are looked up once.
 ROUND_BYTES = 4 << 20
-MOST_PIECES = 1_000_000
+MOST_PIECES = 600_000
 
 
 def broadcast_tokenizer(spark: SparkSession, path: str) -> Broadcast:
@@ -173,15 +173,14 @@ class Encoder:
 
     def encode_all(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text, nulls as empty, in order."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if not self.by_word:
-            yield from (self.whole(t) for t in texts.to_pylist())
+            yield from (self.whole(t or "") for t in texts.to_pylist())
             return
-        ends = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))])
+        ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))])
         a = 0
         while a < len(texts):
             b = max(a + 1, int(np.searchsorted(ends, ends[a] + ROUND_BYTES, "right")) - 1)
-            part = texts.slice(a, b - a)
+            part = pc.fill_null(texts.slice(a, b - a).cast(pa.large_string()), "")
             strange = pc.match_substring_regex(part, _ODD)
             for s in self.added:
                 strange = pc.or_(strange, pc.match_substring(part, s))
