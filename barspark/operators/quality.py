@@ -8,13 +8,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from barspark.functions.chi2 import chi2_sf
 
 MOST_LAGS = 10
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _tail(x: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(a) else chi2_sf(a, int(b)) for a, b in zip(x, dof, strict=True)], dtype="float64")
 
