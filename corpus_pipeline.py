@@ -17,6 +17,9 @@ from barspark.llm.quality import keep_by_policy
 from barspark.llm.queries import tokenizer_path
 from barspark.llm.secret_scan import redact_documents
 
+#: Ids of removed documents are broadcast up to this many (16 MB of longs).
+MOST_BROADCAST_IDS = 2_000_000
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality policy rejects go."""
@@ -26,6 +29,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component stays: that of smallest id."""
     gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    if gone.limit(MOST_BROADCAST_IDS + 1).count() <= MOST_BROADCAST_IDS:  # else both sides are exchanged
+        gone = F.broadcast(gone)
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
