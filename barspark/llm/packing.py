@@ -78,7 +78,7 @@ def _pieces(shared, capacity: int, end_id: int, with_ids: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(shared)
-        for batch in slices(batches, 2048):
+        for batch in slices(batches, 4096):
             rows: list[tuple] = []
             for doc, ids in zip(batch.column(0).to_pylist(), enc.encode_all(batch.column(1)), strict=True):
                 raw = ids.tobytes() + end

@@ -97,7 +97,7 @@ def _write(shared, body: bytes, width: int, end_id: int):
             }
             return pa.RecordBatch.from_arrays(list(row.values()), names=list(row))
 
-        for batch in slices(batches, 2048):
+        for batch in slices(batches, 4096):
             for doc, found in zip(batch.column(0).to_pylist(), enc.encode_all(batch.column(1)), strict=True):
                 n_tokens.append(len(found) + 1)
                 frames.append(pack(found.astype(f"<u{width}").tobytes() + end))

@@ -24,8 +24,8 @@ _PLAIN = re.compile("[!-~¡-ɏ]+")
 #: A tokenizer file above this size is refused, since it is broadcast.
 MOST_TOKENIZER_BYTES = 64 << 20
 #: Text of one round; its distinct words are looked up once.
-ROUND_BYTES = 4 << 20
-MOST_PIECES = 600_000
+ROUND_BYTES = 16 << 20
+MOST_PIECES = 500_000
 
 
 def broadcast_tokenizer(spark: SparkSession, path: str) -> Broadcast:
