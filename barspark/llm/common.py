@@ -7,6 +7,7 @@ library imports this subpackage.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -100,8 +101,15 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
-    # what this task's Arrow buffers held goes back before the worker idles
+    release_memory()
+
+
+def release_memory() -> None:
+    """Hand what this task freed back to the system before the worker idles."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
 
 
 class Memo(dict):
