@@ -25,6 +25,10 @@ _PLAIN = re.compile("[!-~¡-ɏ]+")
 MOST_TOKENIZER_BYTES = 64 << 20
 #: Text of one round; its distinct words are looked up once.
 ROUND_BYTES = 16 << 20
+#: Distinct words that are Python strings at a time.
+LOOKUP_WORDS = 1 << 15
+#: Words of a round whose ids are put together at a time (one text at least).
+GATHER_WORDS = 1 << 17
 MOST_PIECES = 500_000
 
 
@@ -158,18 +162,30 @@ class Encoder:
 
     def _round(self, texts: pa.Array) -> Iterator[np.ndarray]:
         lists = pc.utf8_split_whitespace(texts)
+        bounds = np.asarray(lists.offsets) - lists.offsets[0].as_py()
         flat = lists.flatten().dictionary_encode()
-        parts = self._lookup(flat.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        ids = np.frombuffer(b"".join(parts), "<u4")
-        firsts = np.cumsum(sizes) - sizes
-        at = flat.indices.to_numpy()
-        n = sizes[at]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        whole = ids[np.repeat((firsts[at] - ends[:-1]).astype(np.int32), n) + np.arange(ends[-1], dtype=np.int32)]
-        bounds = ends[np.asarray(lists.offsets) - lists.offsets[0].as_py()].tolist()
-        for a, b in zip(bounds, bounds[1:], strict=False):
-            yield whole[a:b]
+        del lists
+        at, words = flat.indices.to_numpy(), flat.dictionary
+        found, lengths = [], [np.empty(0, np.int32)]
+        for i in range(0, len(words), LOOKUP_WORDS):
+            parts = self._lookup(words.slice(i, LOOKUP_WORDS).to_pylist())
+            lengths.append(np.fromiter(map(len, parts), np.int32, len(parts)))
+            found.append(b"".join(parts))
+        sizes = np.concatenate(lengths) // 4
+        ids = np.frombuffer(b"".join(found), "<u4")
+        firsts = np.cumsum(sizes, dtype=np.int64) - sizes
+        # the words' ids are put together for few texts at a time
+        a = 0
+        while a < len(texts):
+            b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + GATHER_WORDS, "right")) - 1)
+            own = at[bounds[a] : bounds[b]]
+            n = sizes[own]
+            ends = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+            whole = ids[np.repeat(firsts[own] - ends[:-1], n) + np.arange(ends[-1])]
+            cuts = ends[bounds[a : b + 1] - bounds[a]].tolist()
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                yield whole[x:y]
+            a = b
 
     def encode_all(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text, nulls as empty, in order."""

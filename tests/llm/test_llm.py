@@ -7,11 +7,12 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from barspark.llm import html_extract, mixing, near_dup, oracle_sql, packing, quality, queries, secret_scan, sharding, token_count, token_store, top_k
+from barspark.llm import html_extract, mixing, near_dup, oracle_sql, packing, quality, queries, secret_scan, sharding, token_count, token_store, tokens, top_k
 
 WORD, BYTE = (public_tokenizers.path(f"{n}.json") for n in ("word_bpe_49k", "byte_bpe_50k"))
 DDL = "doc_id long, text string, lang string, source string, n_chars long, shard int, size string, `key` string, rep long"
@@ -62,6 +63,14 @@ def test_packing(docs):
     assert len(sequences) == -(-sum(len(ids_of(WORD, t, 0)) for t in TEXTS) // 2048)
 
 
+def test_encoder_in_small_blocks(monkeypatch):
+    monkeypatch.setattr(tokens, "GATHER_WORDS", 3)
+    monkeypatch.setattr(tokens, "LOOKUP_WORDS", 2)
+    with open(WORD, encoding="utf-8") as f:
+        got = list(tokens.Encoder(f.read()).encode_all(pa.array(TEXTS)))
+    assert [x.tolist() for x in got] == [ids_of(WORD, t, 0)[:-1].tolist() for t in TEXTS]
+
+
 def test_bounded_best_fit_closes_the_fullest():
     rnd = random.Random(1)
     lengths = [rnd.randint(1, 100) for _ in range(2000)]
@@ -207,6 +216,14 @@ def test_empty_tables(spark, empty):
     assert top_k.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("most", [0, corpus_pipeline.MOST_BROADCAST_IDS])
+def test_near_dedup_stage_drops_the_same_either_way(spark, docs, monkeypatch, most):
+    monkeypatch.setattr(corpus_pipeline, "MOST_BROADCAST_IDS", most)
+    left = corpus_pipeline.near_dedup(spark, docs, "")
+    assert left.columns == docs.columns
+    assert sorted(r["doc_id"] for r in left.collect()) == [i for i in range(len(TEXTS)) if i not in (4, 5, 6, 8)]
+
+
 def test_pipeline(spark, docs):
     current, names = docs.select("doc_id", "text", "lang", "source", "n_chars"), ["doc_id", "text", "lang", "source", "n_chars"]
     for name, stage in corpus_pipeline.STAGES[:-1]:
