@@ -87,6 +87,50 @@ b AS (SELECT t.*, r.mine AS bar_id, r.bar AS k FROM t JOIN r ON r.user_id = t.us
 """ + BARS_SQL.format(label=label, having=f"max(k) > bar_id AND count(*) >= {least}")
 
 
+def _before_bars(sql: str) -> str:
+    """The common tables of a recursive query, without its bars."""
+    return sql.split("\nb AS (")[0].rstrip().rstrip(",")
+
+
+HOURS_SQL = "NOT ((timestamp // 86400000 + 3) % 7 < 5 AND timestamp % 86400000 >= 34200000 AND timestamp % 86400000 < 57600000)"
+WEEKEND_SQL = "(timestamp // 86400000 + 3) % 7 >= 5"
+
+# a forced close leaves no ticks behind, so every stretch of session or after-hours counts from its start
+TICK_SESSION_SQL = f"""WITH {TICKS_SQL},
+o AS (SELECT *, {HOURS_SQL} AS shut FROM t),
+s AS (SELECT *, coalesce(shut <> lag(shut) OVER (PARTITION BY user_id ORDER BY i), false)::INT AS turn FROM o),
+g AS (SELECT *, sum(turn) OVER (PARTITION BY user_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS stretch FROM s),
+j AS (SELECT *, (row_number() OVER (PARTITION BY user_id, stretch ORDER BY i) - 1) // 10 AS part, max(stretch) OVER (PARTITION BY user_id) AS latest FROM g),
+b AS (SELECT *, dense_rank() OVER (PARTITION BY user_id ORDER BY stretch, part) - 1 AS bar_id FROM j)
+""" + BARS_SQL.format(label="tick", having="max(stretch) < max(latest) OR count(*) = 10")
+
+VOLUME_SESSION_SQL = f"""WITH RECURSIVE {TICKS_SQL},
+o AS (SELECT *, {WEEKEND_SQL} AS shut FROM t),
+r AS (
+  SELECT DISTINCT user_id, 0::BIGINT AS i, 0::BIGINT AS mine, 0::BIGINT AS bar, 0.0::DOUBLE AS total, false AS filled, false AS was FROM t
+  UNION ALL
+  SELECT user_id, i, bar, bar + (total >= 500)::BIGINT, total - CASE WHEN total >= 500 THEN 500 ELSE 0 END, total < 500, shut
+  FROM (
+    SELECT r.user_id, o.i, r.bar + forced::BIGINT AS bar, r.total - CASE WHEN forced THEN 500 ELSE 0 END + o.volume AS total, o.shut
+    FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1, LATERAL (SELECT filled AND o.shut <> was AS forced))),
+b AS (SELECT t.*, r.mine AS bar_id, max(r.bar) OVER (PARTITION BY r.user_id) AS k FROM t JOIN r ON r.user_id = t.user_id AND r.i = t.i)
+""" + BARS_SQL.format(label="volume", having="max(k) > bar_id")
+
+CONVERGENCE_SQL = _before_bars(_imbalance_sql("tick", "et * abs(ep)", 4.0, 0.5, "")) + """,
+trace AS (SELECT user_id, mine AS bar_id, et * abs(ep) AS v FROM r WHERE bar > mine),
+near AS (SELECT *, avg(v) OVER w AS m, count(*) OVER w AS n FROM trace
+  WINDOW w AS (PARTITION BY user_id ORDER BY bar_id ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))
+SELECT user_id, min(bar_id) AS converged_at FROM near WHERE n = 20 AND abs(v - m) < 0.1 * abs(m) GROUP BY user_id"""
+
+CALIBRATION_TICKS_SQL = TICKS_SQL.split("kept AS")[0] + """t AS (
+  SELECT *, price * volume AS dollar, row_number() OVER w AS i, count(*) OVER (PARTITION BY user_id) / 10.0::DOUBLE AS guess,
+    last_value(CASE WHEN step <> 0 THEN step::DOUBLE END IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING) AS side
+  FROM signed WINDOW w AS (PARTITION BY user_id ORDER BY timestamp, seq))"""
+CALIB_IMBALANCE_SQL = _before_bars(_imbalance_sql("tick", "t.guess", 0.0, 0.0, "", source=CALIBRATION_TICKS_SQL)) + """,
+bars AS (SELECT user_id, max(bar) AS n FROM r GROUP BY user_id), sizes AS (SELECT user_id, count(*)::DOUBLE AS total FROM t GROUP BY user_id)
+SELECT user_id, CASE WHEN n > 0 THEN total / 10 * n / 10 ELSE total END AS threshold FROM bars JOIN sizes USING (user_id)"""
+
+
 def _bars(spec: BarSpec, **more) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, d: B.build_bars(events_ticks(spark, d), spec, **OPTIONS, **more)
 
@@ -223,6 +267,10 @@ def oracle_sql() -> dict[str, str]:
         "minute_volume": MINUTE_VOLUME_SQL,
         "minute_dollar": MINUTE_VOLUME_SQL.replace("sum(volume) OVER (PARTITION BY user_id ORDER BY i ROWS UNBOUNDED PRECEDING) / 500", "sum(close * volume) OVER (PARTITION BY user_id ORDER BY i ROWS UNBOUNDED PRECEDING) / 2000000").replace("'volume' AS", "'dollar' AS"),
         "session_flags": SESSIONS_SQL,
+        "tick_bars_session": TICK_SESSION_SQL,
+        "volume_bars_session": VOLUME_SESSION_SQL,
+        "ewma_convergence": CONVERGENCE_SQL,
+        "calib_fixed_imbalance_tick": CALIB_IMBALANCE_SQL,
         "imbalance_tick_warmup": _imbalance_sql("tick", "et * abs(ep)", 4.0, 0.5, "imbalance_tick", 3),
         "run_tick_min_run": _run_sql("tick", 4.0, 0.5, "run_tick", 3),
         "quality_stability": f"WITH bars AS ({volume}), d AS (SELECT user_id, open_ts // {day} AS dy, count(*) AS n FROM bars GROUP BY ALL) SELECT user_id, count(*) AS n_days, avg(n) AS mean_per_day FROM d GROUP BY user_id",
