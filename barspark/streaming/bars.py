@@ -6,8 +6,10 @@ from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from barspark.functions.calendars import Exchange
 from barspark.functions.fold import BarBuilder
 from barspark.model import BAR_COLUMNS, BAR_DDL, BarSpec
 
@@ -16,23 +18,36 @@ def _feed(builder: BarBuilder, rows: pd.DataFrame) -> list[dict]:
     out = []
     side = rows["side"] if "side" in rows else [None] * len(rows)
     mark = rows["watermark"] if "watermark" in rows else rows["timestamp"]
-    for ts, p, v, s, w in zip(rows["timestamp"], rows["price"], rows["volume"], side, mark, strict=True):
-        out += builder.update(int(ts), float(p), float(v), None if s is None or pd.isna(s) else float(s), int(w))
+    shut = rows["__out"] if "__out" in rows else [False] * len(rows)
+    for ts, p, v, s, w, o in zip(rows["timestamp"], rows["price"], rows["volume"], side, mark, shut, strict=True):
+        out += builder.update(int(ts), float(p), float(v), None if s is None or pd.isna(s) else float(s), int(w), bool(o))
     return out
 
 
-def stream_bars(ticks: DataFrame, spec: BarSpec, *, key: Sequence[str], watermark_key: str | None = "timestamp") -> DataFrame:
+def _with_sessions(ticks: DataFrame, calendar) -> DataFrame:
+    """The ticks with the flag ``__out`` where the calendar has sessions."""
+    if calendar is None or not calendar.has_sessions:
+        return ticks
+    if isinstance(calendar, Exchange):
+        return calendar.mark(ticks, "timestamp", "__out")
+    return ticks.withColumn("__out", calendar.is_boundary(F.col("timestamp")))
+
+
+def stream_bars(ticks: DataFrame, spec: BarSpec, *, key: Sequence[str], watermark_key: str | None = "timestamp", strict_ordering: bool = False, calendar=None) -> DataFrame:
     """Completed bars of a streaming table ``key..., timestamp, price, volume[, side, watermark]``.
 
     The state of a key (the open bar and the rule's numbers, as JSON) lives in
     the state store, so a restart from the checkpoint goes on where it was; rows
     of a micro-batch are ordered before they are fed, and rows at or below the
-    last watermark are dropped.
+    last watermark are dropped. ``strict_ordering`` fails at an accepted row
+    whose timestamp is below the one before; a ``calendar`` with sessions closes
+    bars where they begin and end.
     """
+    ticks = _with_sessions(ticks, calendar)
     kinds = {f.name: f.dataType.simpleString() for f in ticks.schema}
 
     def run(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        builder = BarBuilder.from_state(spec, state.get[0], watermark_key=watermark_key) if state.exists else BarBuilder(spec, watermark_key=watermark_key)
+        builder = BarBuilder.from_state(spec, state.get[0], watermark_key=watermark_key) if state.exists else BarBuilder(spec, watermark_key=watermark_key, strict_ordering=strict_ordering)
         rows = pd.concat(list(frames))
         rows = rows.sort_values([c for c in ("timestamp", "watermark") if c in rows], kind="stable")
         bars = _feed(builder, rows)
@@ -46,18 +61,19 @@ def stream_bars(ticks: DataFrame, spec: BarSpec, *, key: Sequence[str], watermar
     return ticks.groupBy(*key).applyInPandasWithState(run, schema, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
-def resumable_bars(ticks: DataFrame, spec: BarSpec, states: DataFrame | None = None, *, key: str, watermark_key: str | None = "timestamp") -> DataFrame:
+def resumable_bars(ticks: DataFrame, spec: BarSpec, states: DataFrame | None = None, *, key: str, watermark_key: str | None = "timestamp", strict_ordering: bool = False, calendar=None) -> DataFrame:
     """Batch with state in and out: rows ``key, state, bar columns``.
 
     Each key gives its completed bars (``state`` null) and one row with the
-    state to resume from; ``states`` holds ``key, state`` of an earlier run.
+    state to resume from; ``states`` holds ``key, state`` of an earlier run. The options are those of ``stream_bars``.
     """
+    ticks = _with_sessions(ticks, calendar)
     kinds = {f.name: f.dataType.simpleString() for f in ticks.schema}
     if states is None:
         states = ticks.sparkSession.createDataFrame([], f"`{key}` {kinds[key]}, state string")
 
     def run(keys: tuple, rows: pd.DataFrame, saved: pd.DataFrame) -> pd.DataFrame:
-        builder = BarBuilder.from_state(spec, saved["state"].iloc[0], watermark_key=watermark_key) if len(saved) else BarBuilder(spec, watermark_key=watermark_key)
+        builder = BarBuilder.from_state(spec, saved["state"].iloc[0], watermark_key=watermark_key) if len(saved) else BarBuilder(spec, watermark_key=watermark_key, strict_ordering=strict_ordering)
         bars = _feed(builder, rows.sort_values([c for c in ("timestamp", "watermark") if c in rows], kind="stable"))
         out = pd.DataFrame([*bars, {}], columns=list(BAR_COLUMNS))
         out.insert(0, "state", [None] * len(bars) + [builder.get_state()])

@@ -4,6 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from barspark.functions.calendars import Session, Weekdays
 from barspark.functions.chi2 import chi2_sf
 from barspark.functions.fold import BarBuilder, Fold
 from barspark.model import BarSpec, Ewma, SchemaError, StateError, Static, ThresholdError
@@ -74,8 +75,6 @@ def test_ewma_moves_by_its_factor():
 
 
 def test_session_forces_a_close(spark):
-    from barspark.functions.calendars import Session, Weekdays
-
     monday = 1_704_672_000_000  # 2024-01-08
     df = frame(spark, [(monday + 10 * 3_600_000, 1, 1, None), (monday + 17 * 3_600_000, 1, 1, None)])
     assert [b["num_ticks"] for b in rows(B.compute_tick_bars(df, 100, calendar=Session(9, 30, 16, 0)))] == [1]
@@ -147,21 +146,33 @@ def test_batch_equals_updates(spark):
         assert rows(B.build_bars(ticks(spark, *map(list, zip(*data, strict=True))), spec)) == want
 
 
-def test_stream_equals_batch(spark, tmp_path):
+@pytest.mark.parametrize("calendar", [None, Session(0, 2, 0, 5)])
+def test_stream_equals_batch(spark, tmp_path, calendar):
     from barspark.streaming.bars import stream_bars
 
     df = sample(spark).selectExpr("timestamp % 2 AS sym", "*").selectExpr("CAST(timestamp / 1000 AS LONG) % 2 AS sym", "timestamp", "price", "volume")
     df.repartitionByRange(4, "timestamp").sortWithinPartitions("timestamp").write.parquet(str(tmp_path / "in"))
     spec = BarSpec("standard", "volume", Static(40.0))
     source = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    q = stream_bars(source, spec, key=["sym"]).writeStream.format("memory").queryName("streamed").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q = stream_bars(source, spec, key=["sym"], calendar=calendar).writeStream.format("memory").queryName("streamed").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     key = lambda r: (r["sym"], r["bar_id"])
     got = sorted((r.asDict() for r in spark.table("streamed").collect()), key=key)
-    want = sorted((r.asDict() for r in B.build_bars(df, spec, key=["sym"]).collect()), key=key)
+    want = sorted((r.asDict() for r in B.build_bars(df, spec, key=["sym"], calendar=calendar).collect()), key=key)
     assert got == want and got
 
 
+def test_resumed_run_keeps_its_order(spark):
+    from barspark.streaming.bars import resumable_bars
+
+    df = sample(spark).selectExpr("1 AS sym", "timestamp", "price", "volume")
+    spec, options = BarSpec("standard", "tick", Static(7)), {"key": "sym", "watermark_key": None, "strict_ordering": True}
+    first = resumable_bars(df.where("timestamp >= 9000"), spec, **options)
+    states = first.where("state is not null").select("sym", "state")
+    with pytest.raises(Exception, match="timestamp 0 after 499000"):
+        resumable_bars(df.where("timestamp < 9000"), spec, states, **options).collect()
+
+
 def test_calibration(spark):
     df = ticks(spark, [10] * 10, [100] * 10)
     value = lambda kind, n: calibrate.fixed_threshold(df, kind, n).first()["threshold"]
