@@ -61,8 +61,8 @@ def sketch(elements: np.ndarray, t: int) -> np.ndarray:
             _place(least, h, np.uint64(i), t, i)
         if n <= 64:
             seeds = np.arange(first + 1, first + rounds + 1, dtype=np.uint64)
-            with np.errstate(over="ignore"):
-                h = mix(elements[None, :] ^ mix(seeds * np.uint64(0x5851F42D4C957F2D), 7)[:, None], 11)
+            with np.errstate(over="ignore"):  # the hash of the loop above: sets of any size must agree
+                h = mix(elements[None, :] ^ (seeds * np.uint64(0x5851F42D4C957F2D))[:, None], 0)
             where = ((h >> np.uint64(32)) * np.uint64(t)) >> np.uint64(32)
             if first >= t:
                 where = np.broadcast_to(np.arange(first - t, first - t + rounds, dtype=np.uint64)[:, None], h.shape)

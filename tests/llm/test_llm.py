@@ -12,7 +12,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from barspark.llm import html_extract, mixing, near_dup, oracle_sql, packing, quality, queries, secret_scan, sharding, token_count, token_store, tokens, top_k
+from barspark.llm import html_extract, mixing, near_dup, oracle_sql, packing, quality, queries, secret_scan, sharding, sketch, token_count, token_store, tokens, top_k
 
 WORD, BYTE = (public_tokenizers.path(f"{n}.json") for n in ("word_bpe_49k", "byte_bpe_50k"))
 DDL = "doc_id long, text string, lang string, source string, n_chars long, shard int, size string, `key` string, rep long"
@@ -127,6 +127,42 @@ def test_chain_of_near_copies(spark):
     assert {r["component_id"] for r in got.values()} == {71}
 
 
+def brute_components(texts):
+    """Component of every text by comparing the word shingles of all pairs."""
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    comp = list(range(len(texts)))
+    for v in range(len(texts)):
+        for u in range(v):
+            both = len(sets[u] & sets[v])
+            if 100 * both >= 75 * (len(sets[u]) + len(sets[v]) - both) and comp[u] != comp[v]:
+                a, b = sorted((comp[u], comp[v]))
+                comp = [a if c == b else c for c in comp]
+    return comp
+
+
+def test_near_copies_of_60_to_70_shingles(spark):
+    texts = []
+    for k in range(40):  # families of two whose sizes lie on both sides of 64 shingles, or on one
+        words = [f"f{k}w{i}" for i in range(64 + k % 6)]
+        texts += [" ".join(words), " ".join([*words, *(f"x{k}_{j}" for j in range(1 + k % 5))])]
+    want = brute_components(texts)
+    assert want == [i - i % 2 for i in range(80)]
+    got = by_id(near_dup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert [got[i]["component_id"] for i in range(80)] == want
+
+
+def test_sketch_does_not_depend_on_the_set_size():
+    rnd = np.random.default_rng(3)
+    elements = rnd.integers(0, 1 << 63, 130, dtype=np.uint64)
+    for n in (60, 64, 65, 70, 130):  # the sketch of a union is the lesser coordinate of its parts
+        parts = [sketch.sketch(elements[:n][k::2], 512) for k in (0, 1)]
+        whole = sketch.sketch(elements[:n], 512)
+        assert (np.minimum(*parts) == whole).all()
+
+
 def test_token_store(spark, docs, tmp_path):
     token_store.write_token_store(docs, str(tmp_path / "s"), WORD)
     got = by_id(token_store.read_token_store(spark, str(tmp_path / "s")))
