@@ -37,6 +37,8 @@ BANDS, ROWS, BITS = 56, 6, 512
 MOST_DIFFERENT = 108
 THRESHOLD = 75
 STAR_ROUNDS = 6
+#: Star rounds end once the pairs across components are at most this many a row, and this many beside.
+CROSS_A_ROW, CROSS_FREE = 16, 200_000
 
 _SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, bits array<long>, keys array<long>"
 
@@ -220,12 +222,12 @@ def _link(
         )
 
     comp = nodes.select(F.col("rep").alias("node"), F.col("rep").alias("comp"))
-    open_rows, before = members, None
+    to_star, before = members, None
     for k in range(STAR_ROUNDS):
         # one centre for each member and round: a round's checks are linear in its members
         pick = F.min("centre") if not k else F.min_by("centre", F.xxhash64("centre", F.lit(k - 1)))
         star = (
-            open_rows.where("rep <> centre")
+            to_star.where("rep <> centre")
             .groupBy("rep")
             .agg(pick.alias("centre"))
             .select(F.least("rep", "centre").alias("u"), F.greatest("rep", "centre").alias("v"))
@@ -246,6 +248,7 @@ def _link(
             F.count(F.lit(1)).alias("size"),
         ).where("lo <> hi")
         parts = labelled.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("part"))
+        # all members of mixed buckets: the last join needs each of them
         open_rows = scratch.table(labelled.join(mixed.select("key", "centre"), "key"), f"open{k}")
         if k:
             scratch.drop(f"open{k - 1}")
@@ -253,11 +256,11 @@ def _link(
             F.sum(F.col("part") * (F.col("size") - F.col("part"))).alias("cross"), F.sum("part").alias("rows")
         ).first()
         cross, rows = size["cross"] or 0, size["rows"] or 0
-        if cross <= 16 * rows + 200_000 or before is not None and cross > 0.8 * before:
+        if cross <= CROSS_A_ROW * rows + CROSS_FREE or before is not None and cross > 0.8 * before:
             break
         before = cross
         centre = comp.select(F.col("node").alias("centre"), F.col("comp").alias("centre_comp"))
-        open_rows = open_rows.join(centre, "centre").where("comp <> centre_comp").select("key", "rep", "comp", "centre")
+        to_star = open_rows.join(centre, "centre").where("comp <> centre_comp").select("key", "rep", "comp", "centre")
 
     rest = open_rows.select("key", "rep", "comp").join(info, "rep").join(texts.select("rep", "short"), "rep")
     half = lambda p: rest.select("key", *(F.col(c).alias(f"{p}_{c}") for c in ("rep", "comp", "n", "bits", "short")))

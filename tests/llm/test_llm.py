@@ -154,6 +154,21 @@ def test_near_copies_of_60_to_70_shingles(spark):
     assert [got[i]["component_id"] for i in range(80)] == want
 
 
+def test_rows_of_the_last_star_round_are_all_compared(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "STAR_ROUNDS", 1)
+    monkeypatch.setattr(near_dup, "CROSS_A_ROW", 0)
+    monkeypatch.setattr(near_dup, "CROSS_FREE", 0)
+    texts = []
+    for k in range(12):  # chains: each alike to the next, most of a bucket's components to another one
+        words = [f"c{k}w{i}" for i in range(100)]
+        for j in range(8):
+            words = [*words[2:], f"c{k}n{j}a", f"c{k}n{j}b"]
+            texts.append(" ".join(words))
+    want = brute_components(texts)
+    got = by_id(near_dup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert [got[i]["component_id"] for i in range(len(texts))] == want
+
+
 def test_sketch_does_not_depend_on_the_set_size():
     rnd = np.random.default_rng(3)
     elements = rnd.integers(0, 1 << 63, 130, dtype=np.uint64)
