@@ -30,6 +30,8 @@ BLOCKS = frozenset(
 )
 REGIONS = frozenset("article main section div body td aside nav footer header form".split())
 NEVER = frozenset("script style noscript template head title svg math iframe object canvas audio video select textarea button".split())
+#: What may stand in a head; any other element, or text, ends a head whose end tag is left out.
+IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript noframes template".split())
 APART = frozenset("nav aside footer form menu dialog search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form menu menubar".split())
 #: Words of class and id names that mark a part which is not the article.
@@ -63,7 +65,14 @@ class _Lines(HTMLParser):
             self.lines.append([text, self.tags, self.links, region, apart])
         self.parts, self.tags, self.links = [], 0, 0
 
+    def _end_head(self) -> None:
+        if self.stack and self.stack[-1][0] == "head":
+            self.end_line()
+            self._close(len(self.stack) - 1)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag not in IN_HEAD:
+            self._end_head()
         if tag in BLOCKS:
             self.end_line()
             if tag in ("p", "li", "td", "th", "tr", "dd", "dt", "option"):
@@ -110,6 +119,8 @@ class _Lines(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if data.strip():
+            self._end_head()
         if self.stack and self.stack[-1][2]:
             return
         self.parts.append(data)

@@ -222,6 +222,16 @@ def test_html(spark):
     assert [got[i]["text"] for i in (1, 2, 3, 4)] == ["", "", "plain text only", "deep"]
 
 
+@pytest.mark.parametrize("body", ["<body>", "", "<body class=x>\n"])
+def test_html_without_end_of_head(body):
+    head = "<html><head><meta charset=utf-8><title>No title</title><noscript><img src=x>No script</noscript><style>p {}</style>"
+    article = "<article><p>The first paragraph of the page.</p><p>And the second one.</p></article>"
+    want = "The first paragraph of the page. And the second one."
+    assert html_extract.extract(head + "</head>" + body + article) == want
+    assert html_extract.extract(head + body + article) == want
+    assert html_extract.extract(head + body + "Bare text of a page.") == "Bare text of a page."
+
+
 def test_top_k(spark):
     rnd = np.random.default_rng(4)
     rows = [(i, v.tolist(), i) for i, v in enumerate(rnd.normal(size=(1500, 8)) * 0.3)]
