@@ -65,6 +65,12 @@ class _Lines(HTMLParser):
             self.lines.append([text, self.tags, self.links, region, apart])
         self.parts, self.tags, self.links = [], 0, 0
 
+    def parse_html_declaration(self, i: int) -> int:
+        # As HTML has it, a bogus comment up to ">"; the library's parser raises on names it does not know.
+        if self.rawdata.startswith("<![", i) and self.rawdata[i : i + 9].lower() != "<![cdata[":
+            return self.parse_bogus_comment(i)
+        return super().parse_html_declaration(i)
+
     def _end_head(self) -> None:
         if self.stack and self.stack[-1][0] == "head":
             self.end_line()

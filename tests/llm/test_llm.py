@@ -232,6 +232,13 @@ def test_html_without_end_of_head(body):
     assert html_extract.extract(head + body + "Bare text of a page.") == "Bare text of a page."
 
 
+@pytest.mark.parametrize("section", ["<![ x ]>", "<![foo[>", "<![foo[ x ]]>", "<![]>", "<![if !IE]>", "<![endif]-->", "<![CDATA[x]]>"])
+def test_html_after_a_marked_section(section):
+    page = f"<body><article><p>Text before the section.</p>{section}<p>Text after the section.</p><![endif]><p>Last text.</p></article>"
+    got = html_extract.extract(page)
+    assert got == "Text before the section. Text after the section. Last text."
+
+
 def test_top_k(spark):
     rnd = np.random.default_rng(4)
     rows = [(i, v.tolist(), i) for i, v in enumerate(rnd.normal(size=(1500, 8)) * 0.3)]
