@@ -301,3 +301,90 @@ def test_pipeline(spark, docs):
     assert {r["doc_id"] for r in current.collect()} <= kept - {4, 5, 6}
     last = corpus_pipeline.STAGES[-1][1](spark, current, "")
     assert Counter(r["doc_id"] for r in last.collect()) == Counter(r["doc_id"] for r in current.collect())
+
+
+def brute_quality(text):
+    """Whether the policy v1 keeps a text."""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    triples = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    seen = Counter(triples)
+    repeated = len({i + j for i, t in enumerate(triples) if seen[t] > 1 for j in range(3)})
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    chars, symbols = sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or ""))
+    return (
+        len(w) >= 50 and 2 * repeated <= len(w) and 3 * len(w) <= chars <= 10 * len(w)
+        and 10 * symbols <= len(w) and 2 * (len(lines) - len(set(lines))) <= len(lines)
+    )
+
+
+def brute_copies(rows):
+    """Copies of every row ``(id, text, lang, source, n_chars)`` in the mix."""
+    size = Counter()
+    for r in rows:
+        size[r[3]] += len(r[1].split())
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(size, key=lambda s: (s is None, s)))}
+    target, left = {}, 1.5 * sum(size.values())
+    while True:
+        level = left / sum(w for s, w in weight.items() if s not in target)
+        full = [s for s in size if s not in target and level * weight[s] >= 2 * size[s]]
+        if not full:
+            break
+        for s in full:
+            target[s] = 2.0 * size[s]
+            left -= target[s]
+    rate = {s: target.get(s, level * weight[s]) / size[s] for s in size}
+    part = lambda i: int(hashlib.md5(f"17:{i}".encode()).hexdigest()[:13], 16) / 2**52
+    return [int(rate[r[3]]) + (part(r[0]) < rate[r[3]] % 1) for r in rows]
+
+
+def test_pipeline_against_brute_force(spark, tmp_path, monkeypatch):
+    secrets = {  # as written, and redacted
+        f"key {KEY} end": "key [SECRET] end",
+        "my password = hunter2hunter ok": "my [SECRET] ok",
+        f"sum {'0123456789abcdef' * 2} end": "sum [SECRET] end",
+        "pwd: hunter2 at host=db.example.com end": "[SECRET] at host=db.example.com end",
+        "nothing hidden here": "nothing hidden here",
+    }
+    texts, clean = [*TEXTS], {}
+    for k in range(30):
+        raw, redacted = list(secrets.items())[k % 5]
+        words = " ".join(f"t{k}w{i}" for i in range(1500 if k == 7 else 60 + k))
+        for end in ("", " more") if k % 3 == 0 else ("",):  # a near copy of each third
+            texts.append(f"{words} {raw}{end}")
+            clean[texts[-1]] = f"{words} {redacted}{end}"
+    rows = [(i, t, "en", ("s", "t", None)[i % 3], None if t is None else len(t)) for i, t in enumerate(texts)]
+    good = [r for r in rows if brute_quality(r[1])]
+    comp = brute_components([r[1] for r in good])
+    single = [r for i, r in enumerate(good) if comp[i] == i]
+    assert len(rows) > len(good) > len(single) > 30
+    redacted = [(r[0], x := clean.get(r[1], r[1]), r[2], r[3], len(x)) for r in single]
+    mixed = [r for r, n in zip(redacted, brute_copies(redacted), strict=True) for _ in range(n)]
+    pieces = []
+    for r in mixed:
+        ids = ids_of(WORD, r[1], 0)
+        for k, at in enumerate(range(0, len(ids), 2048)):
+            part = ids[at : at + 2048].tobytes()
+            pieces.append((r[0], k, at, len(part) // 4, zlib.crc32(part), part))
+    assert len(pieces) > len(mixed)
+
+    seen, order = {}, lambda rows: sorted(rows, key=repr)
+
+    def watched(name, stage):
+        def run(spark, docs, sf_dir):
+            seen[name] = [tuple(r) for r in docs.collect()]
+            return stage(spark, docs, sf_dir)
+
+        return name, run
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [watched(*s) for s in corpus_pipeline.STAGES])
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    for name, want in zip(("near_dedup", "secret_scans", "source_mixing", "best_fit_packing"), (good, single, redacted, mixed), strict=True):
+        assert order(seen[name]) == order(want), name
+    fields = ("doc_id", "piece", "start", "length", "ids_crc32")
+    assert order(tuple(r[f] for f in fields) for r in got) == order(p[:5] for p in pieces)
+    sequences = defaultdict(list)
+    for r in got:
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for s in sequences.values():
+        assert all(at == sum(n for _, n in sorted(s)[:i]) for i, (at, _) in enumerate(sorted(s))) and sum(n for _, n in s) <= 2048
