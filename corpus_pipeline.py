@@ -45,8 +45,8 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces and their places in sequences."""
-    return pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
+    """Token pieces with their ids and their places in sequences."""
+    return pack_documents(docs, tokenizer_path("word_bpe_49k.json"), with_ids=True)
 
 
 STAGES = [

@@ -382,7 +382,7 @@ def test_pipeline_against_brute_force(spark, tmp_path, monkeypatch):
     for name, want in zip(("near_dedup", "secret_scans", "source_mixing", "best_fit_packing"), (good, single, redacted, mixed), strict=True):
         assert order(seen[name]) == order(want), name
     fields = ("doc_id", "piece", "start", "length", "ids_crc32")
-    assert order(tuple(r[f] for f in fields) for r in got) == order(p[:5] for p in pieces)
+    assert order((*(r[f] for f in fields), bytes(r["ids"])) for r in got) == order(pieces)
     sequences = defaultdict(list)
     for r in got:
         sequences[r["sequence_id"]].append((r["offset"], r["length"]))
