@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barspark.llm.common import slices, words
+from barspark.llm.common import Scratch, slices, words
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 _SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -83,11 +83,15 @@ def quality_ledger(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = f"doc_id {own.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{m} long" for m in MEASURES)
+    return own.mapInArrow(_measured, kind).withColumn("fail_bits", _fail_bits())
+
+
+def _fail_bits() -> Column:
     rules = _rules()
     bits = F.lit(0).cast("long")
     for i, name in enumerate(RULE_NAMES):
         bits = bits.bitwiseOR(F.when(rules[name], F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
-    return own.mapInArrow(_measured, kind).withColumn("fail_bits", bits)
+    return bits
 
 
 def apply_policy(ledger: DataFrame, policy: str = DEFAULT_POLICY, policies: Mapping[str, tuple[str, ...]] = POLICIES) -> DataFrame:
@@ -117,13 +121,27 @@ def ablation(ledger: DataFrame, policy: str = DEFAULT_POLICY, policies: Mapping[
     )
 
 
-def keep_by_policy(docs: DataFrame, policy: str = DEFAULT_POLICY, *, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the policy keeps, all columns as they are."""
-    names = docs.columns
+def write_ledger(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """The ledger as a written table, each measured ``row`` beside its bits.
+
+    Every rule is evaluated once; policies and ablations read the table. It is
+    deleted when the driver ends.
+    """
     packed = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"))
     kind = f"row {packed.schema['row'].dataType.simpleString()}, " + ", ".join(f"{m} long" for m in MEASURES)
-    rules = _rules()
-    fails = None
-    for r in POLICIES[policy]:
-        fails = rules[r] if fails is None else fails | rules[r]
-    return packed.mapInArrow(_measured, kind).where(~fails).select(*(F.col(f"row.`{n}`") for n in names))
+    ledger = packed.mapInArrow(_measured, kind).withColumn("fail_bits", _fail_bits())
+    return Scratch(docs.sparkSession, "quality").table(ledger, "ledger")
+
+
+def keep_by_policy(
+    docs: DataFrame, policy: str = DEFAULT_POLICY, *, text_col: str = "text", ledger: DataFrame | None = None
+) -> DataFrame:
+    """The rows of ``docs`` that the policy keeps, all columns as they are.
+
+    They are those of the written ``ledger`` (by default one is written) without
+    a bit of the policy's mask, so further policies evaluate no rule again.
+    """
+    if ledger is None:
+        ledger = write_ledger(docs, text_col=text_col)
+    fails = F.col("fail_bits").bitwiseAND(F.lit(mask(POLICIES[policy]))) != 0
+    return ledger.where(~fails).select(*(F.col(f"row.`{n}`") for n in docs.columns))

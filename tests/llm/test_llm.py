@@ -98,6 +98,17 @@ def test_quality(docs):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if r["kept"]}
 
 
+def test_policies_read_one_written_ledger(docs, monkeypatch):
+    got = by_id(quality.quality_ledger(docs))
+    ledger = quality.write_ledger(docs)
+    assert {r["row"]["doc_id"]: r["fail_bits"] for r in ledger.collect()} == {i: r["fail_bits"] for i, r in got.items()}
+    monkeypatch.setattr(quality, "_measured", None)  # no rule is evaluated again
+    for policy, rules in quality.POLICIES.items():
+        kept = quality.keep_by_policy(docs, policy, ledger=ledger)
+        assert kept.columns == docs.columns
+        assert {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if not r["fail_bits"] & quality.mask(rules)}
+
+
 @pytest.mark.parametrize("name", ["op2_quality_rules", "op4_near_dedup", "op6_source_mixing"])
 def test_against_sql(spark, docs, tmp_path, name):
     docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
