@@ -23,13 +23,16 @@ _MASK = (1 << 64) - 1
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names it. Only where that is unset (tests, a
-    notebook on one machine) a temporary folder is made and set.
+    ``spark.checkpoint.dir`` names it. Only where that is unset and the master
+    is local (tests, a notebook) a temporary folder is made and set; executors
+    of a cluster could not see it, so there it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="barspark-")
         atexit.register(shutil.rmtree, found, True)
         spark.sparkContext.setCheckpointDir(found)
@@ -43,19 +46,32 @@ def delete_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+_live: list[Scratch] = []
+
+
+def release_tables() -> None:
+    """Delete all tables that operators of this session wrote and results may read.
+
+    For long sessions: call it when no result of this subpackage is needed any more.
+    """
+    while _live:
+        _live.pop()._at_exit()
+
+
 class Scratch:
     """Tables of one operator run in the shared folder.
 
     ``table`` writes a DataFrame as Parquet and returns the reread table: the
     lineage is cut, and the files outlive any executor. ``drop`` deletes those
     that the final plan does not read; the others are deleted when the driver
-    ends.
+    ends, or by ``release_tables`` once their results are no longer wanted.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/barspark/{label}-{uuid.uuid4().hex}"
         self._kept: set[str] = set()
+        _live.append(self)
         atexit.register(self._at_exit)
 
     def path(self, name: str) -> str:
@@ -71,10 +87,14 @@ class Scratch:
             delete_path(self.spark, f"{self.root}/{name}")
             self._kept.discard(name)
 
+    def drop_all_but(self, *names: str) -> None:
+        self.drop(*(self._kept - set(names)))
+
     def _at_exit(self) -> None:
         try:
             if self._kept:
                 delete_path(self.spark, self.root)
+                self._kept.clear()
         except Exception:  # noqa: BLE001  the session may be gone by now
             pass
 

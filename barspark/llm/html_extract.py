@@ -1,20 +1,27 @@
 """Main text of web pages by text-to-tag ratios.
 
 The standard library's streaming parser turns a page into lines: the text
-between two block-level tags, with the tags inside it and the region (nearest
-sectioning element) it lies in. Each line has a ratio of text to tags; lines of
-menus, notices, adverts, forms and comments, and text that is mostly links, have
-ratio 0. The ratios are smoothed by a Gaussian and clustered by a threshold; a
-region is content if its lines hold a line of the content cluster, and the text
-is that of all lines of the content regions, in page order.
+between two block-level tags, with the tags inside it and the region it lies in.
+A region is the nearest sectioning element; an article or main element is one
+region. Each line has a ratio of text outside links to tags. Menus, notices,
+adverts, forms and comments (by tag, role, class or id), and text beside the
+article of a page that has one, have theirs lowered, never more: what a name
+says can be outweighed by the text. The ratios are smoothed by a Gaussian that
+stops where such a part begins or ends, and clustered by a threshold; a region
+is content if it holds a line of the content cluster, and the text is that of
+all lines of the content regions, in page order.
+
+Time and memory grow in proportion to the page, however deeply it is nested.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,40 +36,65 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 REGIONS = frozenset("article main section div body td aside nav footer header form".split())
+ARTICLE = frozenset(("article", "main"))
 NEVER = frozenset("script style noscript template head title svg math iframe object canvas audio video select textarea button".split())
 #: What may stand in a head; any other element, or text, ends a head whose end tag is left out.
 IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript noframes template".split())
-APART = frozenset("nav aside footer form menu dialog search".split())
+APART = frozenset("nav aside footer menu dialog search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form menu menubar".split())
 #: Words of class and id names that mark a part which is not the article.
 MARKS = frozenset(
     "ad ads advert adverts advertisement adbox banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer "
-    "header masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted promotion related "
-    "reply replies respond responses share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
+    "menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted promotion "
+    "reply replies share sharing sidebar signup social sponsor sponsored subscribe toolbar".split()
 )
+#: Words that mark one less surely, and those beside which they mean nothing ("story-header").
+WEAK_MARKS = frozenset("header masthead related respond response responses widget".split())
+CONTENT_WORDS = frozenset("article body content entry main post story text".split())
 _WORD = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
+_CLOSES_ITSELF = frozenset("p li td th tr dd dt option".split())
+_BARRIERS = REGIONS | frozenset("ul ol table tr dl blockquote".split())
+#: Factors of lowered ratios, and the least lowered ratio that can be content.
+STRONG, WEAK, BESIDE, LEAST_LOWERED = 0.01, 0.1, 0.1, 10.0
+#: A form or a weakly marked part with this share of the page's text is the page.
+PAGE_SHARE = 0.8
 SIGMA, RADIUS = 1.0, 2
-_KERNEL = [math.exp(-(i * i) / (2 * SIGMA * SIGMA)) for i in range(-RADIUS, RADIUS + 1)]
+_KERNEL = [math.exp(-(i * i) / (2 * SIGMA * SIGMA)) for i in range(RADIUS + 1)]
+
+
+class Line(NamedTuple):
+    text: str
+    tags: int
+    link_chars: int
+    region: int
+    mark: int
+    in_article: bool
 
 
 class _Lines(HTMLParser):
-    """Lines ``[text, tags, link_chars, region, apart]`` of one page."""
+    """Lines of one page, and its marked parts ``(parent, factor, sure)``."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[list] = []
-        # open elements: name, whether apart, whether never text, region number
-        self.stack: list[tuple[str, bool, bool, int]] = []
-        self.regions: list[tuple[str, bool]] = [("", False)]
+        self.lines: list[Line] = []
+        self.marks: list[tuple[int, float, bool]] = [(0, 1.0, True)]
+        # open elements: name, whether never text, region, mark, whether in an article
+        self.stack: list[tuple[str, bool, int, int, bool]] = []
+        self.places: dict[str, list[int]] = defaultdict(list)  # where each name is open in the stack
+        self.fences: list[int] = []  # where regions are
+        self.barriers: list[int] = []
+        self.regions = 0
         self.parts: list[str] = []
-        self.tags = self.links = self.in_link = 0
+        self.tags = self.links = 0
+
+    def _top(self) -> tuple[str, bool, int, int, bool]:
+        return self.stack[-1] if self.stack else ("", False, 0, 0, False)
 
     def end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            _, apart, _, region = self.stack[-1] if self.stack else ("", False, False, 0)
-            self.lines.append([text, self.tags, self.links, region, apart])
+            self.lines.append(Line(text, self.tags, self.links, *self._top()[2:]))
         self.parts, self.tags, self.links = [], 0, 0
 
     def parse_html_declaration(self, i: int) -> int:
@@ -81,121 +113,142 @@ class _Lines(HTMLParser):
             self._end_head()
         if tag in BLOCKS:
             self.end_line()
-            if tag in ("p", "li", "td", "th", "tr", "dd", "dt", "option"):
-                self._imply_end(tag)
+            if tag in _CLOSES_ITSELF and (open_ := self.places[tag]) and open_[-1] >= (self.barriers[-1] if self.barriers else 0):
+                self._close(open_[-1])
         else:
             self.tags += 1
         if tag in VOID:
             return
-        _, apart, never, region = self.stack[-1] if self.stack else ("", False, False, 0)
-        never = never or tag in NEVER
-        if not apart:
-            in_article = any(n in ("article", "main") for n, _, _, _ in self.stack) if tag == "header" else True
-            apart = tag in APART or not in_article or bool(attrs) and _marked(tag, attrs)
+        _, never, region, mark, inside = self._top()
+        factor, sure = _marked(tag, attrs, inside)
+        never = never or tag in NEVER or not factor
+        if 0 < factor < 1:
+            self.marks.append((mark, factor, sure))
+            mark = len(self.marks) - 1
+        if tag in REGIONS and not inside or factor < 1:
+            self.regions += 1
+            region = self.regions
+        at = len(self.stack)
+        self.places[tag].append(at)
         if tag in REGIONS:
-            self.regions.append((tag, any(n in ("article", "main") for n, _, _, _ in self.stack) or tag in ("article", "main")))
-            region = len(self.regions) - 1
-        if tag == "a":
-            self.in_link += 1
-        self.stack.append((tag, apart, never, region))
-
-    def _imply_end(self, tag: str) -> None:
-        for i in range(len(self.stack) - 1, -1, -1):
-            name = self.stack[i][0]
-            if name == tag:
-                self._close(i)
-                return
-            if name in REGIONS or name in ("ul", "ol", "table", "tr", "dl", "blockquote"):
-                return
-
-    def _close(self, i: int) -> None:
-        self.in_link -= sum(n == "a" for n, _, _, _ in self.stack[i:])
-        del self.stack[i:]
+            self.fences.append(at)
+        if tag in _BARRIERS:
+            self.barriers.append(at)
+        self.stack.append((tag, never, region, mark, inside or tag in ARTICLE))
+
+    def _close(self, at: int) -> None:
+        while len(self.stack) > at:
+            self.places[self.stack.pop()[0]].pop()
+        for open_ in (self.fences, self.barriers):
+            while open_ and open_[-1] >= at:
+                open_.pop()
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self.end_line()
         else:
             self.tags += 1
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                self._close(i)
-                return
-            if self.stack[i][0] in REGIONS and tag not in BLOCKS:
-                return
+        if (open_ := self.places.get(tag)) and (tag in BLOCKS or not self.fences or open_[-1] > self.fences[-1]):
+            self._close(open_[-1])
 
     def handle_data(self, data: str) -> None:
         if data.strip():
             self._end_head()
-        if self.stack and self.stack[-1][2]:
+        if self.stack and self.stack[-1][1]:
             return
         self.parts.append(data)
-        if self.in_link:
+        if self.places.get("a"):
             self.links += len(data.strip())
 
 
-def _marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+def _marked(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> tuple[float, bool]:
+    """The factor of an element's ratios (0: not shown), and whether the mark is sure."""
+    factor, sure = (STRONG, True) if tag in APART else (WEAK, False) if tag == "form" or tag == "header" and not in_article else (1.0, True)
     for name, value in attrs:
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return 0.0, True
         if not value:
             continue
-        if name == "role" and value.lower() in ROLES or name == "style" and _HIDDEN.search(value):
-            return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and not MARKS.isdisjoint(_WORD.findall(value.lower())):
-            return True
-    return False
-
-
-def page_lines(html: str) -> tuple[list[list], list[tuple[str, bool]]]:
+        if name == "style" and _HIDDEN.search(value):
+            return 0.0, True
+        if name == "role" and value.lower() in ROLES:
+            factor, sure = STRONG, True
+        if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
+            words = _WORD.findall(value.lower())
+            if not MARKS.isdisjoint(words):
+                factor, sure = STRONG, True
+            elif factor == 1 and not WEAK_MARKS.isdisjoint(words) and CONTENT_WORDS.isdisjoint(words):
+                factor, sure = WEAK, False
+    return factor, sure
+
+
+def page_lines(html: str) -> tuple[list[Line], list[float]]:
+    """The page's lines and the factor of each one's ratio."""
     parser = _Lines()
     try:
         parser.feed(html)
         parser.close()
-    except (AssertionError, ValueError):  # markup declarations that the parser refuses
+    except (AssertionError, ValueError):  # an open declaration at the page's end
         pass
     parser.end_line()
-    return parser.lines, parser.regions
-
-
-def ratios(lines: list[list]) -> list[float]:
-    """Text to tags of each line; 0 where it is apart or mostly links."""
-    return [0.0 if apart or 2 * links > len(text) else len(text) / max(1, tags) for text, tags, links, _, apart in lines]
-
-
-def smooth(values: list[float]) -> list[float]:
-    """Gaussian smoothing with the weights that fall inside the page."""
-    n = len(values)
-    if n > 256:
-        import numpy as np
-
-        weight = np.convolve(np.ones(n), _KERNEL, "same")
-        return (np.convolve(values, _KERNEL, "same") / weight).tolist()
-    out = []
+    lines, marks = parser.lines, parser.marks
+    held = [0] * len(marks)
+    for line in lines:
+        held[line.mark] += len(line.text) - min(line.link_chars, len(line.text))
+    for i in range(len(marks) - 1, 0, -1):
+        held[marks[i][0]] += held[i]
+    factors = [1.0] * len(marks)
+    for i, (parent, factor, sure) in enumerate(marks[1:], 1):
+        believed = sure or held[i] < PAGE_SHARE * held[0]
+        factors[i] = min(factors[parent], factor) if believed else factors[parent]
+    has_article = any(line.in_article for line in lines)
+    return lines, [min(factors[x.mark], 1.0 if x.in_article or not has_article else BESIDE) for x in lines]
+
+
+def ratios(lines: list[Line], factors: list[float]) -> list[float]:
+    """Text to tags of each line, lowered by its factor; 0 where it is mostly links."""
+    return [0.0 if 2 * x.link_chars > len(x.text) else factor * len(x.text) / max(1, x.tags) for x, factor in zip(lines, factors, strict=True)]
+
+
+def smooth(values: list[float], factors: list[float]) -> list[float]:
+    """Gaussian smoothing over the neighbours that an unbroken run of one factor reaches."""
+    n, out = len(values), []
     for i in range(n):
-        a, b = max(0, i - RADIUS), min(n, i + RADIUS + 1)
-        k = _KERNEL[a - i + RADIUS : b - i + RADIUS]
-        out.append(sum(x * w for x, w in zip(values[a:b], k, strict=True)) / sum(k))
+        total, weight = values[i], 1.0
+        for step in (-1, 1):
+            for d in range(1, RADIUS + 1):
+                j = i + step * d
+                if not 0 <= j < n or factors[j] != factors[i]:
+                    break
+                total += _KERNEL[d] * values[j]
+                weight += _KERNEL[d]
+        out.append(total / weight)
     return out
 
 
-def extract(html: str | None) -> str:
-    """The page's main text; empty where there is none."""
-    if not html:
-        return ""
-    lines, regions = page_lines(html)
-    raw = ratios(lines)
+def content_regions(lines: list[Line], factors: list[float]) -> set[int]:
+    """Regions that hold a line of the content cluster."""
+    raw = ratios(lines, factors)
     if not any(raw):
-        return ""
-    flat = smooth(raw)
+        return set()
+    flat = smooth(raw, factors)
     mean = sum(flat) / len(flat)
     spread = math.sqrt(sum((x - mean) ** 2 for x in flat) / len(flat))
     # the lower of two usual thresholds, and never above the page's best own line
     threshold = min(spread, mean, max(f for f, r in zip(flat, raw, strict=True) if r))
-    content = {line[3] for line, f, r in zip(lines, flat, raw, strict=True) if r and f >= threshold}
-    if any(regions[i][1] for i in content):  # the page says where its article is
-        content = {i for i, (_, inside) in enumerate(regions) if inside}
-    return " ".join(line[0] for line in lines if line[3] in content and not line[4])
+    return {
+        x.region for x, f, r, factor in zip(lines, flat, raw, factors, strict=True)
+        if r and f >= (threshold if factor == 1 else max(threshold, LEAST_LOWERED))
+    }
+
+
+def extract(html: str | None) -> str:
+    """The page's main text; empty where there is none."""
+    if not html:
+        return ""
+    lines, factors = page_lines(html)
+    content = content_regions(lines, factors)
+    return " ".join(x.text for x in lines if x.region in content)
 
 
 def extract_pages(
@@ -203,10 +256,11 @@ def extract_pages(
 ) -> DataFrame:
     """``page_id, url, text, n_chars`` of every page's whole html.
 
-    A null or empty page, or one without content, has an empty text. Character
-    references are decoded; white space inside a block is one space; blocks are
-    joined by one space. No exchange; repeated rows have a row each; other
-    columns are not looked at.
+    A null or empty page, or one without content, has an empty text; pages of
+    any length are read whole. Character references are decoded; white space
+    inside a block is one space; blocks are joined by one space. No exchange;
+    repeated rows have a row each; other columns are not looked at; an empty
+    table gives no rows.
     """
     own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"))
 

@@ -100,15 +100,20 @@ def _with_short_hashes(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            short = [(shingle_set(x, size) >> np.uint64(32)).astype(np.uint32).view(np.int32) for x in batch.column(1).to_pylist()]
+            # sorted sets stay sorted, so equal upper halves lie side by side
+            short = [np.unique((shingle_set(x, size) >> np.uint64(32)).astype(np.uint32)).view(np.int32) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(short, pa.list_(pa.int32()))], names=["rep", "text", "short"])
 
     return run
 
 
 def _short_sets_link(threshold: int):
-    """The 32-bit sets of two sides (m_, c_) allow a link; two hashes may have met by chance."""
-    both = F.size(F.array_intersect("m_short", "c_short")) + 2
+    """The 32-bit sets of two sides (m_, c_) allow a link.
+
+    A bound, not a guess: of the shingles in both, at most as many vanish in the
+    shorter hashes as those of the m side lost by meeting each other there.
+    """
+    both = F.size(F.array_intersect("m_short", "c_short")) + F.col("m_n") - F.size("m_short")
     return 100 * both >= threshold * (F.col("m_n") + F.col("c_n") - both)
 
 
@@ -182,7 +187,7 @@ def near_duplicates(
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
     out = scratch.table(out, "out")
-    scratch.drop("signed", "classes", "members", "nodes", "info", "texts", "final")
+    scratch.drop_all_but("out")
     return out
 
 

@@ -33,6 +33,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the policy rejects, alone and in all, by bits of the ledger."""
+    return quality.ablation(quality.quality_ledger(_table(spark, sf_dir, "documents")), "v1")
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_and_read(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
 
@@ -73,6 +78,7 @@ def queries() -> dict[str, Query]:
     found = (
         op1_best_fit_packing, op2_quality_rules, op3_token_store, op4_near_dedup, op5_sharding,
         op6_source_mixing, op7_html_extraction, op8_exact_top_k, op9_secret_scan, op10_token_counts,
+        quality_ablation,
     )
     return {f.__name__: f for f in found}
 
@@ -102,12 +108,21 @@ m AS (
 bits AS (
   SELECT *, (n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (word_chars < 3 * n_words)::BIGINT
     + 8 * (word_chars > 10 * n_words)::BIGINT + 16 * (10 * n_symbols > n_words)::BIGINT
-    + 32 * (100 * n_dup_lines > 50 * n_lines)::BIGINT + 64 * (n_words > 100000)::BIGINT AS fail_bits FROM m)
+    + 32 * (100 * n_dup_lines > 50 * n_lines)::BIGINT + 64 * (n_words > 100000)::BIGINT + 128 * (n_words = 0)::BIGINT AS fail_bits FROM m)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
   n_repeat_words::BIGINT AS n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits & 63 = 0 AS kept, fail_bits
 FROM bits
 """
 
+ABLATION_SQL = f"""
+WITH ledger AS ({OP2_SQL}),
+rules AS (SELECT * FROM (VALUES {", ".join(f"('{r}', {1 << quality.RULE_NAMES.index(r)})" for r in quality.POLICIES["v1"])}) AS v(rule, bit)),
+b AS (SELECT fail_bits & 63 AS bits FROM ledger)
+SELECT rule, count(*) FILTER (WHERE bits & bit <> 0) AS n_failed, count(*) FILTER (WHERE bits = bit) AS n_only_this,
+  count(*) FILTER (WHERE bits = 0 OR bits = bit) AS n_kept_without
+FROM b, rules GROUP BY rule
+"""
+
 OP4_SQL = r"""
 WITH RECURSIVE base AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
@@ -166,6 +181,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_quality_rules": OP2_SQL,
+        "quality_ablation": ABLATION_SQL,
         "op4_near_dedup": OP4_SQL,
         "op6_source_mixing": OP6_SQL,
         "op8_exact_top_k": OP8_SQL,

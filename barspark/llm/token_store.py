@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import warnings
 import zlib
 from collections.abc import Iterator
 
@@ -32,10 +33,15 @@ from pyspark.sql import functions as F
 from barspark.llm.common import Scratch, slices
 from barspark.llm.tokens import broadcast_tokenizer, encoder, load_tokenizer
 
-#: The dictionary is fitted on at most this many texts of at most that many
-#: characters (those of least hash), which bounds what the driver gets.
+#: The dictionary is fitted on at most this many texts (those of least hash), of
+#: a longer one on a window of that many characters at a hashed place. This
+#: bounds what the driver gets and leaves out no text for its length.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 512, 4096, 64 << 10
+#: Bytes of one training sample; ids of a smaller corpus than LEAST_BYTES get no dictionary.
+SAMPLE_BYTES, LEAST_BYTES = 1024, 4096
 BLOCK_BYTES, BLOCK_DOCS = 4 << 20, 4096
+#: A block is about one row group, so that reading one row reads no other block.
+ROW_GROUP_BYTES = 4 << 20
 LEVEL = 3
 
 _BLOCK = (
@@ -49,21 +55,33 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def train_dictionary(texts: DataFrame, tokenizer_text: str, width: int, end_id: int) -> bytes:
-    """A dictionary of serialised id arrays; empty where there is too little to fit one."""
-    short = texts.where(F.length("text").between(32, SAMPLE_CHARS))
+    """A dictionary of serialised id arrays; empty where the corpus has next to no ids.
+
+    Texts of any length are drawn alike. Where the training finds nothing (say
+    all rows are equal) the drawn ids themselves are the dictionary, and a
+    warning says so.
+    """
     # about twice the documents wanted pass the hash, so no task sends many more
     part = min(1.0, 2 * SAMPLE_DOCS / max(1, texts.count()))
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
-    few = short.where(place <= int(part * (1 << 40))).orderBy(place, "doc_id").limit(SAMPLE_DOCS).select("text").collect()
+    at = F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS + 1)) + 1
+    window = F.substring("text", at.cast("int"), F.lit(SAMPLE_CHARS)).alias("text")
+    drawn = texts.where((place <= int(part * (1 << 40))) & (F.col("text") != "")).select(window, place.alias("place"), "doc_id")
+    few = drawn.orderBy("place", "doc_id").limit(SAMPLE_DOCS).select("text").collect()
     tokenizer = load_tokenizer(tokenizer_text)
     arrays = [
         np.array([*e.ids, end_id], dtype=f"<u{width}").tobytes()
         for e in tokenizer.encode_batch([r["text"] for r in few], add_special_tokens=False)
     ]
-    try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, arrays, level=LEVEL).as_bytes()
-    except zstandard.ZstdError:
+    samples = [a[i : i + SAMPLE_BYTES] for a in arrays for i in range(0, len(a), SAMPLE_BYTES)]
+    held = sum(map(len, samples))
+    if held < LEAST_BYTES:
         return b""
+    try:
+        return zstandard.train_dictionary(min(DICTIONARY_BYTES, held // 4), samples, level=LEVEL).as_bytes()
+    except zstandard.ZstdError as error:
+        warnings.warn(f"no dictionary could be trained ({error}); the sample itself is the dictionary", stacklevel=2)
+        return b"".join(dict.fromkeys(samples))[-DICTIONARY_BYTES:]
 
 
 def _write(shared, body: bytes, width: int, end_id: int):
@@ -117,10 +135,12 @@ def write_token_store(
 ) -> None:
     """Encode every whole text, append ``end_id``, and write the store to ``path``.
 
-    Null texts count as empty (the end id alone). Rows are written in ascending
-    ``doc_id`` order (nulls first, repeated ids by text) by one range exchange of
-    the texts; encoding and compression run after it, in the writing tasks. Other
-    columns are not looked at. An empty table gives a store without blocks.
+    Null texts count as empty (the end id alone); very long ones are encoded
+    whole. Rows are written in ascending ``doc_id`` order (nulls first, repeated
+    ids by a hash of the text, then the text) by one range exchange of the texts
+    on id and hash, which also parts rows of one id; encoding and compression run
+    after it, in the writing tasks. Other columns are not looked at. An empty
+    table gives a store without blocks.
     """
     spark = docs.sparkSession
     shared = broadcast_tokenizer(spark, tokenizer_path)
@@ -131,10 +151,13 @@ def write_token_store(
     texts = _texts(docs, id_col, text_col)
     body = train_dictionary(texts, shared.value, width, end_id)
     (
-        texts.repartitionByRange("doc_id")
-        .sortWithinPartitions("doc_id", "text")
+        texts.withColumn("h", F.xxhash64("text"))
+        .repartitionByRange("doc_id", "h")
+        .sortWithinPartitions("doc_id", "h", "text")
+        .drop("h")
         .mapInArrow(_write(shared, body, width, end_id), _BLOCK)
         .write.option("compression", "uncompressed")
+        .option("parquet.block.size", ROW_GROUP_BYTES)
         .parquet(f"{path}/blocks")
     )
     spark.createDataFrame(
@@ -209,22 +232,21 @@ def read_token_store(spark: SparkSession, path: str, *, with_ids: bool = False)
 
 
 def fetch_ids(spark: SparkSession, path: str, doc_ids: list[int]) -> dict[int, list[list[int]]]:
-    """Ids of a few documents: only their blocks' rows are read, only their frames decompressed."""
+    """Ids of a few documents: one job, which reads their blocks' rows and sends their frames alone."""
     sha, body = _dictionary(spark, path)
-    unpack, out = _unpacker(sha, body), {}
+    unpack, out = _unpacker(sha, body), {doc: [] for doc in doc_ids}
+    if not doc_ids:
+        return out
     blocks = spark.read.schema(_BLOCK).parquet(f"{path}/blocks")
-    for doc in doc_ids:
-        inside = blocks.where((F.col("first_doc") <= doc) & (F.col("last_doc") >= doc))
-        one = inside.select(
-            "dict_sha256", "width", F.posexplode("doc_ids").alias("i", "doc_id"), "n_tokens", "offsets", "frames"
-        ).where(F.col("doc_id") == doc)
-        rows = one.select(
-            "dict_sha256",
-            "width",
-            F.col("n_tokens")[F.col("i")].alias("n"),
-            F.expr("substring(frames, CAST(offsets[i] + 1 AS INT), CAST(offsets[i + 1] - offsets[i] AS INT))").alias("frame"),
-        ).collect()
-        out[doc] = [np.frombuffer(unpack(r["dict_sha256"], bytes(r["frame"]), r["width"], r["n"]), "<u4").tolist() for r in rows]
+    wanted = F.array(*(F.lit(doc).cast("long") for doc in doc_ids))
+    inside = blocks.where((F.col("first_doc") <= max(doc_ids)) & (F.col("last_doc") >= min(doc_ids)) & F.arrays_overlap("doc_ids", wanted))
+    every = F.sequence(F.lit(0), F.size("doc_ids") - 1)
+    found = inside.select("part", "block", "dict_sha256", "width", "doc_ids", "n_tokens", "offsets", "frames",
+                          F.explode(F.filter(every, lambda i: F.array_contains(wanted, F.col("doc_ids")[i]))).alias("i"))
+    frame = F.expr("substring(frames, CAST(offsets[i] + 1 AS INT), CAST(offsets[i + 1] - offsets[i] AS INT))")
+    rows = found.select("part", "block", "i", "dict_sha256", "width", F.col("doc_ids")[F.col("i")].alias("doc_id"), F.col("n_tokens")[F.col("i")].alias("n"), frame.alias("frame"))
+    for r in sorted(rows.collect(), key=lambda r: (r["part"], r["block"], r["i"])):
+        out[r["doc_id"]].append(np.frombuffer(unpack(r["dict_sha256"], bytes(r["frame"]), r["width"], r["n"]), "<u4").tolist())
     return out
 
 

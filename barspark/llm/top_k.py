@@ -13,9 +13,13 @@ from pyspark.sql import functions as F
 from barspark.llm.common import Scratch
 
 SHARD_ROWS, LEAF_ROWS = 8192, 64
-#: Queries of one pass: what is broadcast is at most this many bytes.
-PASS_BYTES = 32 << 20
+#: Queries of one block, and bytes of its vectors.
+BLOCK_QUERIES, BLOCK_BYTES = 2048, 8 << 20
+#: All blocks are broadcast up to this many bytes; beyond, they are exchanged.
+MOST_BROADCAST_BYTES = 32 << 20
 _NONE = np.iinfo(np.int64).min
+#: Scores saturate here, so bounds must too.
+_LEAST, _MOST = float(np.iinfo(np.int64).min), float(np.iinfo(np.int64).max)
 _TREE = "dim int, ids binary, vectors binary, centres binary, radii binary, spans binary"
 
 
@@ -85,6 +89,7 @@ class Tree:
             raw = q @ self.centres[level].T + norms[:, None] * self.radii[level][None, :]
             # generous against rounding, so that no score can exceed its bound
             raw += 1e-9 * (np.abs(raw) + norms[:, None] * self.radii[level][None, :]) + 1
+            np.clip(raw, _LEAST, _MOST, out=raw)
             next_level, next_above = [], []
             for i, node in enumerate(level):
                 bound = np.minimum(raw[:, i], above[i])
@@ -171,26 +176,41 @@ def _plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield grown(dim, *part)
 
 
-def _search(shared, k: int, seed: bool):
+def _search(k: int, seed: bool):
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["dim"] not in shared.value:
-                    continue
-                ids, queries, kth = shared.value[row["dim"]]
-                for a in range(0, len(ids), 2048):
-                    part = slice(a, a + 2048)
-                    score, who = Tree(row).search(ids[part], queries[part], kth[part], k, 1 if seed else None)
-                    at, place = np.nonzero((score != _NONE) & (score >= kth[part, None]))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[part][at]), pa.array(who[at, place]), pa.array(score[at, place])], schema=schema
-                    )
+            for i in range(batch.num_rows):
+                tree = Tree({c: batch.column(c)[i].as_py() for c in ("dim", "ids", "vectors", "centres", "radii", "spans")})
+                block = batch.column("queries")[i].values
+                ids = block.field("vec_id").to_numpy()
+                queries = block.field("v").flatten().to_numpy().reshape(len(ids), -1)
+                kth = block.field("kth").fill_null(_NONE + 1).to_numpy()
+                score, who = tree.search(ids, queries, kth, k, 1 if seed else None)
+                at, place = np.nonzero((score != _NONE) & (score >= kth[:, None]))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(who[at, place]), pa.array(score[at, place])], schema=schema)
 
     return run
 
 
+def _meet(trees: DataFrame, queries: DataFrame, n: int, dim: int) -> DataFrame:
+    """Every tree beside every block of the ``n`` queries of its dimension.
+
+    Blocks of proven size are broadcast. Beyond, trees are dealt to groups and
+    each group gets all blocks: trees are exchanged once, blocks once a group.
+    """
+    per_block = max(1, min(BLOCK_QUERIES, BLOCK_BYTES // (8 * dim)))
+    block = F.pmod(F.xxhash64("vec_id"), F.lit(-(-n // per_block)))
+    blocks = queries.groupBy(F.size("v").alias("dim"), block.alias("block")).agg(F.collect_list(F.struct("vec_id", "v", "kth")).alias("queries"))
+    if 16 * n * (dim + 4) <= MOST_BROADCAST_BYTES:
+        return trees.join(F.broadcast(blocks), "dim")
+    groups = int(trees.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = trees.withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(groups)))
+    every = F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))
+    return dealt.join(blocks.withColumn("group", F.explode(every)), ["dim", "group"])
+
+
 def integer_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
     """``vec_id, v`` with ``floor(scale * x)``; vectors that are null, or hold null or non-finite x, are left out."""
     odd = F.exists(vector_col, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
@@ -213,44 +233,31 @@ def top_k(
 
     Queries are rows whose id is divisible by ``every``; scores are inner
     products of the integer vectors, ties go to the smaller id. Vectors meet
-    those of their own dimension. Where rows share an id, an id is one query (its
-    least vector), and no row of that id answers it. Trees are built once and
-    written. Queries go in passes of at most ``PASS_BYTES``, broadcast; in each
-    pass every shard first visits each query's best leaf, the kth best of all
-    these is shared, and then bounds cut with it.
+    those of their own dimension; null, empty and non-finite ones take no part,
+    and an id without partner has no rows. Where rows share an id, an id is one
+    query (its least vector), and no row of that id answers it. Other columns are
+    not looked at; an empty table gives no rows. Products beyond 64 bits saturate.
+
+    Trees and queries are written tables. Every shard first visits each query's
+    best leaf; the kth best of all these is shared, and with it bounds cut in the
+    second pass. The driver gets the number of queries and no more.
     """
-    spark = table.sparkSession
-    scratch = Scratch(spark, "top-k")
+    scratch = Scratch(table.sparkSession, "top-k")
     vectors = integer_vectors(table, id_col, vector_col, scale).where(F.size("v") > 0)
     trees = scratch.table(vectors.mapInArrow(_plant, _TREE), "trees")
     queries = scratch.table(
         vectors.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")), "queries"
     )
     size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim")).first()
-    passes = max(1, -(-2 * size["n"] * 8 * (size["dim"] or 1) // PASS_BYTES))
+    n, dim = max(1, size["n"]), size["dim"] or 1
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     kind = "query_id long, vec_id long, score long"
-    out = None
-    for p in range(passes):
-        rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == p).orderBy("vec_id").collect()
-        by_dim: dict[int, list] = {}
-        for r in rows:
-            by_dim.setdefault(len(r["v"]), []).append(r)
-        block = {
-            d: [np.array([r["vec_id"] for r in q]), np.array([r["v"] for r in q], dtype=np.int64), np.full(len(q), _NONE + 1)]
-            for d, q in by_dim.items()
-        }
-        seeds = trees.mapInArrow(_search(spark.sparkContext.broadcast(block), k, True), kind)
-        kth = {
-            r["query_id"]: r["score"]
-            for r in seeds.select("*", F.row_number().over(best).alias("rank")).where(F.col("rank") == k).collect()
-        }
-        block = {d: [i, v, np.array([kth.get(x, _NONE + 1) for x in i.tolist()], dtype=np.int64)] for d, (i, v, _) in block.items()}
-        found = trees.mapInArrow(_search(spark.sparkContext.broadcast(block), k, False), kind)
-        out = found if out is None else out.unionByName(found)
-    out = (
-        out.select("*", F.row_number().over(best).alias("rank"))
+    ranked = lambda found: found.select("*", F.row_number().over(best).alias("rank"))
+    seeds = _meet(trees, queries.withColumn("kth", F.lit(None).cast("long")), n, dim).mapInArrow(_search(k, True), kind)
+    kth = scratch.table(ranked(seeds).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("kth")), "kth")
+    found = _meet(trees, queries.join(kth, "vec_id", "left"), n, dim).mapInArrow(_search(k, False), kind)
+    return (
+        ranked(found)
         .where(F.col("rank") <= k)
         .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
     )
-    return out

@@ -308,14 +308,14 @@ def test_pipeline(spark, docs):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         current = stage(spark, current, "")
         assert current.columns == names, name
-    kept = {i for i, t in enumerate(TEXTS) if quality.measure(t)[0] >= 50 and 2 * quality.measure(t)[4] <= quality.measure(t)[0]}
+    kept = {i for i, t in enumerate(TEXTS) if quality.measure(t)[0] > 0 and 2 * quality.measure(t)[4] <= quality.measure(t)[0]}
     assert {r["doc_id"] for r in current.collect()} <= kept - {4, 5, 6}
     last = corpus_pipeline.STAGES[-1][1](spark, current, "")
     assert Counter(r["doc_id"] for r in last.collect()) == Counter(r["doc_id"] for r in current.collect())
 
 
 def brute_quality(text):
-    """Whether the policy v1 keeps a text."""
+    """Whether the policy v2 keeps a text."""
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     triples = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
     seen = Counter(triples)
@@ -323,7 +323,7 @@ def brute_quality(text):
     lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
     chars, symbols = sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or ""))
     return (
-        len(w) >= 50 and 2 * repeated <= len(w) and 3 * len(w) <= chars <= 10 * len(w)
+        len(w) > 0 and 2 * repeated <= len(w) and 3 * len(w) <= chars <= 10 * len(w)
         and 10 * symbols <= len(w) and 2 * (len(lines) - len(set(lines))) <= len(lines)
     )
 
@@ -356,7 +356,7 @@ def test_pipeline_against_brute_force(spark, tmp_path, monkeypatch):
         "pwd: hunter2 at host=db.example.com end": "[SECRET] at host=db.example.com end",
         "nothing hidden here": "nothing hidden here",
     }
-    texts, clean = [*TEXTS], {}
+    texts, clean = [*TEXTS], {TEXTS[14]: "[SECRET] at host=db.example.com"}
     for k in range(30):
         raw, redacted = list(secrets.items())[k % 5]
         words = " ".join(f"t{k}w{i}" for i in range(1500 if k == 7 else 60 + k))
