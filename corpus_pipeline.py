@@ -23,7 +23,7 @@ MOST_BROADCAST_IDS = 2_000_000
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality policy rejects go."""
-    return keep_by_policy(docs)
+    return keep_by_policy(docs, "v2")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
