@@ -151,6 +151,38 @@ def test_policy_without_a_least_length(spark):
     assert {r["doc_id"] for r in kept.collect()} == {0}
 
 
+def brute_targets(size, share=1.5, most=2):
+    """Water level by raising it from stop to stop."""
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(size, key=lambda s: (s is None, s)))}
+    full, left = set(), share * sum(size.values())
+    while left and len(full) < len(size):
+        level = (left - sum(most * size[s] for s in full)) / sum(w for s, w in weight.items() if s not in full)
+        more = {s for s in size if s not in full and level * weight[s] >= most * size[s]}
+        if not more:
+            return {s: most * size[s] if s in full else level * weight[s] for s in size}
+        full |= more
+    return {s: most * size[s] for s in size}
+
+
+@pytest.mark.parametrize("most", [mixing.MOST_BROADCAST_SOURCES, 0], ids=["broadcast", "salted"])
+def test_many_sources_and_a_hot_one(spark, monkeypatch, most):
+    monkeypatch.setattr(mixing, "MOST_BROADCAST_SOURCES", most)
+    rnd = random.Random(6)
+    rows = [(i, "w " * rnd.randint(0, 40), "hot" if i % 3 == 0 else None if i % 50 == 1 else f"url{i % 997}") for i in range(3000)]
+    size = Counter()
+    for _, t, s in rows:
+        size[s] += len(t.split())
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5), columns=["doc_id"]).collect()
+    want = brute_targets(size)
+    assert len(got) == 3000
+    by_id = {r["row"]["doc_id"]: r for r in got}
+    for i, t, s in rows:
+        r = by_id[i]
+        assert (r["size"], r["source_size"]) == (len(t.split()), size[s]) and r["target"] == pytest.approx(want[s], rel=1e-12)
+        rate = want[s] / size[s] if size[s] else 0
+        assert int(rate) <= r["copies"] <= int(rate) + 1
+
+
 def slow_sketch(elements, t):
     """Every round of the scheme, one element and one bin at a time."""
     least = [None] * t
