@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import TYPE_CHECKING
 
+if TYPE_CHECKING:
+    from barspark.extend import Accumulator, Threshold
+
+# The columns of a bar, and the fields of a tick and of a minute.
 BAR_COLUMNS = (
     "bar_id", "open", "high", "low", "close", "volume", "dollar_value", "vwap", "num_ticks", "open_ts", "close_ts", "bar_type",
 )
@@ -67,8 +74,6 @@ class Ewma:
 
     @property
     def alpha(self) -> float:
-        import math
-
         return 2.0 / (self.span + 1.0) if self.halflife is None else 1.0 - math.exp(-math.log(2.0) / self.halflife)
 
 
@@ -76,25 +81,31 @@ class Ewma:
 class BarSpec:
     """What closes a bar: a family, a metric, a threshold, and what is returned."""
 
-    family: str  # "standard", "time", "imbalance" or "run"
+    family: str  # "standard", "time", "imbalance", "run" or "custom"
     metric: str = "tick"  # "tick", "volume" or "dollar"
-    threshold: Static | Ewma = field(default_factory=lambda: Static(0.0))
+    threshold: Static | Ewma | Callable[[], Threshold] = field(default_factory=lambda: Static(0.0))
     interval_ms: int = 0
     anchor: str = "clock"
     warmup_bars: int = 0
     min_run_length: int = 0
     session_carry: str = "keep"  # "keep": a forced close leaves volume's and dollar's debt; "reset": 0
+    accumulator: Callable[[], Accumulator] | None = None  # of the family "custom"
+    label: str = "custom"
 
     def __post_init__(self) -> None:
-        if self.family not in ("standard", "time", "imbalance", "run"):
+        if self.family not in ("standard", "time", "imbalance", "run", "custom"):
             raise ValueError(f"unknown family {self.family!r}")
+        if (self.family == "custom") != (self.accumulator is not None):
+            raise ValueError("the family custom, and no other, takes an accumulator")
+        if callable(self.threshold) and self.family != "custom":
+            raise ThresholdError("a threshold of your own is for the family custom")
         if self.metric not in ("tick", "volume", "dollar"):
             raise ValueError(f"unknown metric {self.metric!r}")
         if self.family == "time" and (self.interval_ms <= 0 or self.anchor not in ("clock", "first_tick")):
             raise ValueError("a time bar needs a positive interval_ms and the anchor clock or first_tick")
-        if isinstance(self.threshold, Ewma) and self.family not in ("imbalance", "run"):
+        if isinstance(self.threshold, Ewma) and self.family not in ("imbalance", "run", "custom"):
             raise ThresholdError("a moving threshold is for imbalance and run bars")
 
     @property
     def bar_type(self) -> str:
-        return {"standard": self.metric, "time": "time"}.get(self.family, f"{self.family}_{self.metric}")
+        return {"standard": self.metric, "time": "time", "custom": self.label}.get(self.family, f"{self.family}_{self.metric}")

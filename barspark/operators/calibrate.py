@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from barspark.functions.fold import Fold
 from barspark.model import BarSpec, Static
@@ -17,28 +18,27 @@ def _metric(metric: str):
     return {"tick": F.lit(1.0), "volume": F.col("volume"), "dollar": F.col("price") * F.col("volume")}[metric]
 
 
-def _simulated(spec_of, fold_stats):
-    """Run one key's ticks and hand its bars' (size, proportion) to ``fold_stats``."""
+def _simulate(rows: pa.Table, family: str, metric: str, threshold: float) -> list[tuple[float, float]]:
+    """(size, proportion) of the bars that a fixed threshold gives one key's ticks."""
+    fold, stats = Fold(BarSpec(family, metric, Static(threshold))), []
+    for m, side in zip(rows.column("__metric").to_pylist(), rows.column("side").to_pylist(), strict=True):
+        fold._add(0, m, side)
+        if fold._full(0, threshold):
+            stats.append(fold.stats())
+            fold._close(threshold, False)
+            if family == "run" and fold.total == 0.0:
+                fold.direction = None  # calibration lets the next run take any direction
+    return stats
 
-    def run(rows: pa.Table) -> tuple[float, list[tuple[float, float]]]:
-        rows = rows.sort_by("__seq")
-        metrics, sides = rows.column("__metric").to_pylist(), rows.column("side").to_pylist()
-        total = 0.0
-        for m in metrics:
-            total += m
-        fold, stats = Fold(spec_of(total)), []
-        for m, side in zip(metrics, sides, strict=True):
-            bar = fold.bar
-            fold._add(0, m, side)
-            if fold._full(0, fold.threshold):
-                stats.append(fold.stats())
-                fold._close(fold.threshold, False)
-                if fold.spec.family == "run" and fold.run == 0.0:
-                    fold.run_sign = None  # calibration lets the next run take any direction
-            assert fold.bar - bar <= 1
-        return total, stats
 
-    return run
+def _guess(rows: pa.Table, family: str, metric: str, target: float) -> tuple[pa.Table, float, float]:
+    """One key's ticks in order, their total, and the threshold that one simulation suggests."""
+    rows = rows.sort_by("__seq")
+    total = 0.0
+    for m in rows.column("__metric").to_pylist():
+        total += m
+    found = len(_simulate(rows, family, metric, total / target))
+    return rows, total, total / target * found / target if found else total
 
 
 def _rows(ticks: DataFrame, family: str, metric: str, key: Sequence[str], order: Sequence[str], schema) -> DataFrame:
@@ -66,39 +66,35 @@ def fixed_threshold(ticks: DataFrame, bar_type: str, target_bars: float, *, key:
     family, _, metric = bar_type.partition("_")
     if family not in ("imbalance", "run") or metric not in ("tick", "volume", "dollar"):
         raise ValueError(f"no threshold for bar type {bar_type!r}")
-    simulate = _simulated(lambda total: BarSpec(family, metric, Static(total / target_bars)), None)
 
     def run(keys: tuple, rows: pa.Table) -> pa.Table:
-        total, stats = simulate(rows)
-        value = total / target_bars * len(stats) / target_bars if stats else total
+        _, _, value = _guess(rows, family, metric, target_bars)
         return pa.table([*(pa.array([k.as_py()], k.type) for k in keys[: len(key)]), pa.array([value])], names=[*key, "threshold"])
 
-    return _grouped(_rows(ticks, family, metric, key, order, schema), key, run, "threshold double")
+    return _grouped(_rows(ticks, family, metric, key, order, schema), key, run, ("threshold",))
 
 
 def ewma_seeds(ticks: DataFrame, family: str, metric: str = "tick", span: float = 20, target_bars: int = 50, *, key: Sequence[str] = (), order: Sequence[str] = ("timestamp",), schema=None) -> DataFrame:
     """Key columns, ``initial_t`` and ``initial_proportion`` for a moving threshold."""
     if family not in ("imbalance", "run"):
         raise ValueError(f"unknown family {family!r}")
-    guess = _simulated(lambda total: BarSpec(family, metric, Static(total / target_bars)), None)
+    a = 2.0 / (span + 1.0)
 
     def run(keys: tuple, rows: pa.Table) -> pa.Table:
-        total, first = guess(rows)
-        level = total / target_bars * len(first) / target_bars if first else total
-        _, stats = _simulated(lambda _: BarSpec(family, metric, Static(level)), None)(rows)
-        t, p = stats[0] if stats else (total, 0.5)
-        a = 2.0 / (span + 1.0)
+        rows, total, level = _guess(rows, family, metric, target_bars)
+        stats = _simulate(rows, family, metric, level) or [(total, 0.5)]
+        t, p = stats[0]
         for x, y in stats[1:]:
             t, p = a * x + (1.0 - a) * t, a * y + (1.0 - a) * p
         return pa.table([*(pa.array([k.as_py()], k.type) for k in keys[: len(key)]), pa.array([t]), pa.array([p])], names=[*key, "initial_t", "initial_proportion"])
 
-    return _grouped(_rows(ticks, family, metric, key, order, schema), key, run, "initial_t double, initial_proportion double")
+    return _grouped(_rows(ticks, family, metric, key, order, schema), key, run, ("initial_t", "initial_proportion"))
 
 
-def _grouped(rows: DataFrame, key: Sequence[str], run, kind: str) -> DataFrame:
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name in key)
+def _grouped(rows: DataFrame, key: Sequence[str], run, names: Sequence[str]) -> DataFrame:
+    kinds = StructType([*(rows.schema[k] for k in key), *(StructField(n, DoubleType()) for n in names)])
     grouped = rows.groupBy(*key) if key else rows.groupBy(F.lit(0).alias("__all"))
-    return grouped.applyInArrow(run, kinds + kind)
+    return grouped.applyInArrow(run, kinds)
 
 
 def convergence(trace: DataFrame, key: Sequence[str] = (), value: str = "threshold_after", window: int = 20, tolerance: float = 0.1) -> DataFrame:

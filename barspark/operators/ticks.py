@@ -33,8 +33,6 @@ class SchemaMapping:
         return "side" in self.columns
 
 
-
-
 def sequence_window(key: Sequence[str], order: Sequence[str]):
     return W.partitionBy(*key).orderBy(*order)
 
@@ -47,6 +45,16 @@ def _bad_number(x: Column) -> Column:
     return x.isNull() | F.isnan(x) | (x == float("inf")) | (x < 0)
 
 
+def _not_allowed(minutes: bool) -> dict[str, Column]:
+    """By column, whether its value is refused."""
+    numbers = ("open", "high", "low", "close", "volume") if minutes else ("price", "volume")
+    bad = {"timestamp": F.col("timestamp").isNull()} | {f: _bad_number(F.col(f)) for f in numbers}
+    bad["side"] = F.col("side").isNotNull() & ~F.col("side").isin(1.0, -1.0)
+    if minutes:
+        bad["low"] = bad["low"] | (F.col("low") > F.least("open", "close")) | (F.col("high") < F.greatest("open", "close"))
+    return bad
+
+
 def project(df: DataFrame, mapping: SchemaMapping, key: Sequence[str], order: Sequence[str], extra: Sequence[str] = (), validate: str = "lazy") -> DataFrame:
     """Key, order and extra columns, ``timestamp`` and the mapped numbers as doubles.
 
@@ -62,20 +70,36 @@ def project(df: DataFrame, mapping: SchemaMapping, key: Sequence[str], order: Se
     out = df.select(
         *(F.col(c).alias(f"__in_{c}") for c in kept), F.col(mapping.columns["timestamp"]).cast("long").alias("timestamp"), *(col[f].alias(f) for f in numbers), side.alias("side")
     )
-    bad = {f: _bad_number(F.col(f)) for f in numbers} | {"side": F.col("side").isNotNull() & ~F.col("side").isin(1.0, -1.0)}
-    if minutes:
-        bad["low"] = bad["low"] | (F.col("low") > F.least("open", "close")) | (F.col("high") < F.greatest("open", "close"))
+    bad = _not_allowed(minutes)
     if validate == "eager":
-        any_bad = F.lit(False)
-        for b in bad.values():
-            any_bad = any_bad | b
-        if row := out.where(any_bad).orderBy("timestamp").first():
-            raise TickDataError(f"row not allowed: {row.asDict()}")
+        if row := first_invalid(df, mapping, key, order):
+            raise TickDataError(f"row not allowed: {row}")
     elif validate == "lazy":
         out = out.select(*(F.col(c) if c not in bad else _guard(F.col(c), bad[c], f"TickDataError in {c}").alias(c) for c in out.columns))
     return out
 
 
+def first_invalid(df: DataFrame, mapping: SchemaMapping, key: Sequence[str] = (), order: Sequence[str] = ()) -> dict | None:
+    """The first row, by key and order, whose values are not allowed, with its number ``row`` (from 0) in its key; or None.
+
+    One pass finds the row, a second counts those before it; one row reaches the driver.
+    """
+    off = project(df, mapping, key, order, validate="off")
+    bad = F.lit(False)
+    for x in _not_allowed("open" in mapping.columns).values():
+        bad = bad | x
+    found = off.where(bad).orderBy(*(f"__in_{c}" for c in (*key, *order))).first()
+    if found is None:
+        return None
+    before = off
+    for c in key:
+        before = before.where(F.col(f"__in_{c}").eqNullSafe(F.lit(found[f"__in_{c}"])))
+    if order:
+        at = F.struct(*(F.lit(found[f"__in_{c}"]).cast(off.schema[f"__in_{c}"].dataType) for c in order))
+        before = before.where(F.struct(*(f"__in_{c}" for c in order)) < at)
+    return {"row": before.count() if order else None} | {c.removeprefix("__in_"): found[c] for c in off.columns}
+
+
 def derive_sign(df: DataFrame, price: str, window, name: str = "side") -> DataFrame:
     """Tick rule: the sign of the last price change so far; null before the first."""
     change = F.signum(F.col(price) - F.lag(price).over(window))
@@ -95,6 +119,11 @@ def drop_seen(df: DataFrame, watermark: str, window, above: int | None = None) -
     return df.withColumn("__before", before).where(F.col("__before").isNull() | (F.col(watermark) > F.col("__before"))).drop("__before")
 
 
+def out_of_order(df: DataFrame, window) -> DataFrame:
+    """Rows whose timestamp is below their predecessor's."""
+    return df.withColumn("__late", F.col("timestamp") < F.lag("timestamp").over(window)).where("__late").drop("__late")
+
+
 def require_order(df: DataFrame, window) -> DataFrame:
     """Fail the job at the first timestamp below its predecessor's."""
     late = F.col("timestamp") < F.lag("timestamp").over(window)

@@ -20,14 +20,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barspark.model import BarSpec
+from barspark.model import BarSpec, Static
 
 
-def fits(spec: BarSpec) -> bool:
-    """Whether this spec's bars have the closed form."""
-    from barspark.model import Ewma
+def fits(spec: BarSpec, ordered: bool = True) -> bool:
+    """Whether this spec's bars have the closed form.
 
-    return spec.family in ("standard", "time", "run") and not isinstance(spec.threshold, Ewma)
+    That of time bars holds only where timestamps do not fall (``ordered``).
+    """
+    if spec.family == "time":
+        return ordered
+    return spec.family in ("standard", "run") and isinstance(spec.threshold, Static)
+
+
+def chunks_fit(spec: BarSpec) -> bool:
+    return fits(spec, False) and spec.threshold.threshold > 0
 
 
 def metric(spec: BarSpec) -> Column:
@@ -49,36 +56,44 @@ def assign(ticks: DataFrame, spec: BarSpec, window) -> DataFrame:
     else:
         could = F.floor(F.sum("__metric").over(upto) / F.lit(float(spec.threshold.threshold)))
     out = ticks.withColumn("__metric", metric(spec)).withColumn("__slack", could.cast("long") - F.col("__seq"))
-    closed = F.col("__seq") + F.least(F.lit(0), F.min("__slack").over(upto))
-    out = out.withColumn("__closed", closed)
-    return out.withColumn("bar_id", F.coalesce(F.lag("__closed").over(window), F.lit(0))).drop("__metric", "__slack")
+    least = lambda frame: F.least(F.lit(0), F.min("__slack").over(frame))
+    # both frames in one window operator; a tick's bar is what closed before it
+    out = out.withColumns({"__closed": F.col("__seq") + least(upto), "bar_id": F.col("__seq") - 1 + least(window.rowsBetween(W.unboundedPreceding, -1))})
+    return out.drop("__metric", "__slack")
 
 
-def chunked(ticks: DataFrame, spec: BarSpec, order: Sequence[str], chunks: int) -> DataFrame:
+def chunked(ticks: DataFrame, spec: BarSpec, order: Sequence[str], chunks: int, mark: str | None = None) -> DataFrame:
     """Like ``assign`` for one unkeyed stream, in range-partitioned chunks.
 
     ``ticks`` needs the order columns; metrics should sum exactly (integers),
-    since sums are taken chunk by chunk. Two passes, no window over all rows.
+    since sums are taken chunk by chunk. Three passes (with ``mark``, the
+    watermark that must rise, four), each a scan over chunks between windows
+    within them; no window sees all rows. The chunks are written, so that a lost
+    executor's tasks run on the same ones.
     """
-    if spec.family == "time" or spec.threshold.threshold <= 0:
-        raise ValueError("chunks are for positive fixed thresholds")
-    t = F.lit(float(spec.threshold.threshold))
-    own = ticks.withColumn("__metric", metric(spec)).repartitionByRange(chunks, *order).withColumn("__chunk", F.spark_partition_id())
-    own = own.withColumn("__place", F.struct(*order))
     from barspark.operators.bars import written
 
-    own = written(own)
+    t = F.lit(float(spec.threshold.threshold))
+    own = ticks.withColumn("__metric", metric(spec)).repartitionByRange(chunks, *order).withColumn("__chunk", F.spark_partition_id())
+    own = written(own.withColumn("__place", F.struct(*order)))
     w = W.partitionBy("__chunk").orderBy("__place")
-    upto = w.rowsBetween(W.unboundedPreceding, 0)
-    own = own.withColumn("__i", F.row_number().over(w).cast("long")).withColumn("__sum", F.sum("__metric").over(upto))
-    sizes = own.groupBy("__chunk").agg(F.max("__i").alias("n"), F.sum("__metric").alias("s"))
-    before = W.orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.select("__chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("s").over(before), F.lit(0.0)).alias("s0"))
-    own = own.join(F.broadcast(starts), "__chunk").withColumn("__seq", F.col("n0") + F.col("__i"))
-    own = own.withColumn("__slack", (F.floor((F.col("s0") + F.col("__sum")) / t).cast("long") - F.col("__seq")))
-    least = own.groupBy("__chunk").agg(F.min("__slack").alias("m"))
-    least = least.select("__chunk", F.coalesce(F.min("m").over(before), F.lit(0)).alias("m0"))
-    own = own.join(F.broadcast(least), "__chunk")
-    own = own.withColumn("__closed", F.col("__seq") + F.least(F.lit(0), F.col("m0"), F.min("__slack").over(upto)))
-    previous = F.coalesce(F.lag(F.col("__closed")).over(w), F.col("n0") + F.least(F.lit(0), F.col("m0")))
-    return own.withColumn("bar_id", previous).drop("__chunk", "__place", "__i", "__sum", "n0", "s0", "m0", "__slack", "__metric")
+    upto, before = w.rowsBetween(W.unboundedPreceding, 0), W.orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)
+
+    def carried(rows: DataFrame, sums: dict) -> DataFrame:
+        """What the chunks before sum to, at every row of a chunk; a row per chunk is broadcast."""
+        each = rows.groupBy("__chunk").agg(*(one.alias(c) for c, (one, _, _) in sums.items()))
+        starts = each.select("__chunk", *(F.coalesce(over(F.col(c)).over(before), none).alias(c) for c, (_, over, none) in sums.items()))
+        return rows.join(F.broadcast(starts), "__chunk")
+
+    if mark:
+        own = carried(own, {"__top": (F.max(mark), F.max, F.lit(None))})
+        seen = F.greatest("__top", F.max(mark).over(w.rowsBetween(W.unboundedPreceding, -1)))
+        own = own.withColumn("__seen", seen).where(F.col("__seen").isNull() | (F.col(mark) > F.col("__seen"))).drop("__seen", "__top")
+    own = own.withColumns({"__i": F.row_number().over(w).cast("long"), "__sum": F.sum("__metric").over(upto)})
+    own = carried(own, {"__n0": (F.max("__i"), F.sum, F.lit(0)), "__s0": (F.sum("__metric"), F.sum, F.lit(0.0))})
+    own = own.withColumn("__seq", F.col("__n0") + F.col("__i"))
+    own = own.withColumn("__slack", F.floor((F.col("__s0") + F.col("__sum")) / t).cast("long") - F.col("__seq"))
+    own = carried(own, {"__m0": (F.min("__slack"), F.min, F.lit(0))})
+    least = lambda frame: F.least(F.lit(0), F.col("__m0"), F.min("__slack").over(frame))
+    own = own.withColumns({"__closed": F.col("__seq") + least(upto), "bar_id": F.col("__seq") - 1 + least(w.rowsBetween(W.unboundedPreceding, -1))})
+    return own.drop("__chunk", "__place", "__i", "__sum", "__n0", "__s0", "__m0", "__slack", "__metric")

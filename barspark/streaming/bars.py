@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.readwriter import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from barspark.functions.calendars import Exchange
 from barspark.functions.fold import BarBuilder
-from barspark.model import BAR_COLUMNS, BAR_DDL, BarSpec
+from barspark.model import BAR_COLUMNS, BarSpec
 
 
 def _feed(builder: BarBuilder, rows: pd.DataFrame) -> list[dict]:
@@ -33,51 +35,83 @@ def _with_sessions(ticks: DataFrame, calendar) -> DataFrame:
     return ticks.withColumn("__out", calendar.is_boundary(F.col("timestamp")))
 
 
-def stream_bars(ticks: DataFrame, spec: BarSpec, *, key: Sequence[str], watermark_key: str | None = "timestamp", strict_ordering: bool = False, calendar=None) -> DataFrame:
+def _order(ticks: DataFrame, order: Sequence[str] | None, strict_ordering: bool) -> list[str]:
+    """The columns that rows of one call are sorted by."""
+    if strict_ordering and (not order or order[0] == "timestamp"):
+        raise ValueError("strict ordering needs an order that is not the timestamp's own")
+    return list(order or [c for c in ("timestamp", "watermark") if c in ticks.columns])
+
+
+def _bar_schema(key: Sequence[str], ticks: DataFrame, *more: str) -> StructType:
+    first = [ticks.schema[k] for k in key] + [StructField(n, StringType()) for n in more]
+    kinds = {"bar_type": StringType} | dict.fromkeys(("bar_id", "num_ticks", "open_ts", "close_ts"), LongType)
+    return StructType([*first, *(StructField(c, kinds.get(c, DoubleType)()) for c in BAR_COLUMNS)])
+
+
+def stream_bars(
+    ticks: DataFrame, spec: BarSpec, *, key: Sequence[str], order: Sequence[str] | None = None, watermark_key: str | None = "timestamp",
+    strict_ordering: bool = False, parity_drop: bool = False, calendar=None,
+) -> DataFrame:
     """Completed bars of a streaming table ``key..., timestamp, price, volume[, side, watermark]``.
 
     The state of a key (the open bar and the rule's numbers, as JSON) lives in
     the state store, so a restart from the checkpoint goes on where it was; rows
-    of a micro-batch are ordered before they are fed, and rows at or below the
-    last watermark are dropped. ``strict_ordering`` fails at an accepted row
-    whose timestamp is below the one before; a ``calendar`` with sessions closes
-    bars where they begin and end.
+    of a micro-batch are put in ``order`` (default: timestamp, watermark) before
+    they are fed, and rows at or below the last watermark are dropped. A value
+    that is not allowed fails the query. ``strict_ordering`` fails at an accepted
+    row whose timestamp is below the one before, and needs an ``order`` of
+    arrival; a ``calendar`` with sessions closes bars where they begin and end.
     """
-    ticks = _with_sessions(ticks, calendar)
-    kinds = {f.name: f.dataType.simpleString() for f in ticks.schema}
+    ticks, sort = _with_sessions(ticks, calendar), _order(ticks, order, strict_ordering)
 
     def run(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        builder = BarBuilder.from_state(spec, state.get[0], watermark_key=watermark_key) if state.exists else BarBuilder(spec, watermark_key=watermark_key, strict_ordering=strict_ordering)
-        rows = pd.concat(list(frames))
-        rows = rows.sort_values([c for c in ("timestamp", "watermark") if c in rows], kind="stable")
-        bars = _feed(builder, rows)
+        if state.exists:
+            builder = BarBuilder.from_state(spec, state.get[0], watermark_key=watermark_key)
+        else:
+            builder = BarBuilder(spec, watermark_key=watermark_key, strict_ordering=strict_ordering, parity_drop=parity_drop)
+        bars = _feed(builder, pd.concat(list(frames)).sort_values(sort, kind="stable"))
         state.update((builder.get_state(),))
         out = pd.DataFrame(bars, columns=list(BAR_COLUMNS))
         for i, (name, k) in enumerate(zip(key, keys, strict=True)):
             out.insert(i, name, k)
         yield out
 
-    schema = "".join(f"`{k}` {kinds[k]}, " for k in key) + BAR_DDL
-    return ticks.groupBy(*key).applyInPandasWithState(run, schema, "state string", "append", GroupStateTimeout.NoTimeout)
+    return ticks.groupBy(*key).applyInPandasWithState(run, _bar_schema(key, ticks), "state string", "append", GroupStateTimeout.NoTimeout)
+
+
+def on_bars(bars: DataFrame, on_bar: Callable[[dict], None], checkpoint: str) -> DataStreamWriter:
+    """A sink that calls ``on_bar`` on the driver with each completed bar of a stream, batch by batch in key and bar order."""
+    key = [c for c in bars.columns if c not in BAR_COLUMNS]
+
+    def each(batch: DataFrame, _: int) -> None:
+        for row in batch.orderBy(*key, "bar_id").toLocalIterator():
+            on_bar(row.asDict())
+
+    return bars.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
 
 
-def resumable_bars(ticks: DataFrame, spec: BarSpec, states: DataFrame | None = None, *, key: str, watermark_key: str | None = "timestamp", strict_ordering: bool = False, calendar=None) -> DataFrame:
+def resumable_bars(
+    ticks: DataFrame, spec: BarSpec, states: DataFrame | None = None, *, key: str, order: Sequence[str] | None = None, watermark_key: str | None = "timestamp",
+    strict_ordering: bool = False, parity_drop: bool = False, calendar=None,
+) -> DataFrame:
     """Batch with state in and out: rows ``key, state, bar columns``.
 
     Each key gives its completed bars (``state`` null) and one row with the
     state to resume from; ``states`` holds ``key, state`` of an earlier run. The options are those of ``stream_bars``.
     """
-    ticks = _with_sessions(ticks, calendar)
-    kinds = {f.name: f.dataType.simpleString() for f in ticks.schema}
+    ticks, sort = _with_sessions(ticks, calendar), _order(ticks, order, strict_ordering)
     if states is None:
-        states = ticks.sparkSession.createDataFrame([], f"`{key}` {kinds[key]}, state string")
+        states = ticks.sparkSession.createDataFrame([], StructType([ticks.schema[key], StructField("state", StringType())]))
 
     def run(keys: tuple, rows: pd.DataFrame, saved: pd.DataFrame) -> pd.DataFrame:
-        builder = BarBuilder.from_state(spec, saved["state"].iloc[0], watermark_key=watermark_key) if len(saved) else BarBuilder(spec, watermark_key=watermark_key, strict_ordering=strict_ordering)
-        bars = _feed(builder, rows.sort_values([c for c in ("timestamp", "watermark") if c in rows], kind="stable"))
+        if len(saved):
+            builder = BarBuilder.from_state(spec, saved["state"].iloc[0], watermark_key=watermark_key)
+        else:
+            builder = BarBuilder(spec, watermark_key=watermark_key, strict_ordering=strict_ordering, parity_drop=parity_drop)
+        bars = _feed(builder, rows.sort_values(sort, kind="stable"))
         out = pd.DataFrame([*bars, {}], columns=list(BAR_COLUMNS))
         out.insert(0, "state", [None] * len(bars) + [builder.get_state()])
         out.insert(0, key, keys[0])
         return out
 
-    return ticks.groupBy(key).cogroup(states.groupBy(key)).applyInPandas(run, f"`{key}` {kinds[key]}, state string, {BAR_DDL}")
+    return ticks.groupBy(key).cogroup(states.groupBy(key)).applyInPandas(run, _bar_schema([key], ticks, "state"))

@@ -165,8 +165,8 @@ def test_stream_equals_batch(spark, tmp_path, calendar):
 def test_resumed_run_keeps_its_order(spark):
     from barspark.streaming.bars import resumable_bars
 
-    df = sample(spark).selectExpr("1 AS sym", "timestamp", "price", "volume")
-    spec, options = BarSpec("standard", "tick", Static(7)), {"key": "sym", "watermark_key": None, "strict_ordering": True}
+    df = sample(spark).selectExpr("1 AS sym", "timestamp", "price", "volume", "timestamp AS arrival")
+    spec, options = BarSpec("standard", "tick", Static(7)), {"key": "sym", "order": ["arrival"], "watermark_key": None, "strict_ordering": True}
     first = resumable_bars(df.where("timestamp >= 9000"), spec, **options)
     states = first.where("state is not null").select("sym", "state")
     with pytest.raises(Exception, match="timestamp 0 after 499000"):
