@@ -129,8 +129,12 @@ class Fold:
 
     def steps(self, ts: Sequence[int], metrics: Sequence[float], sides: Sequence[float | None], out: Sequence[bool] | None, prices: Sequence[float], volumes: Sequence[float]) -> tuple[list[int], list[tuple[int, float]]]:
         """The bar of each tick, and the place and new threshold of each close by ticks."""
-        family = self.spec.family
-        if out is None and self.in_session and type(self) is Fold and family in ("imbalance", "run"):
+        if out is None and self.in_session and type(self) is Fold:
+            family = self.spec.family
+            if family == "time":
+                return self._times(ts)
+            if family == "standard":
+                return self._sums(metrics)
             return (self._imbalance if family == "imbalance" else self._runs)(metrics, sides)
         bars, closes = [], []
         for i, (t, m, s, o, p, v) in enumerate(zip(ts, metrics, sides, out or [False] * len(ts), prices, volumes, strict=True)):
@@ -140,6 +144,39 @@ class Fold:
                 closes.append((i, limit))
         return bars, closes
 
+    def _ended(self, bars: list[int], closes: list[tuple[int, float]]) -> tuple[list[int], list[tuple[int, float]]]:
+        if bars:
+            self.filled = not closes or closes[-1][0] < len(bars) - 1
+        return bars, closes
+
+    def _sums(self, metrics: Sequence[float]) -> tuple[list[int], list[tuple[int, float]]]:
+        bars, closes, bar, total, limit = [], [], self.bar, self.total, self.threshold
+        least = 0.0 if self.spec.metric == "tick" else -math.inf
+        for i, m in enumerate(metrics):
+            total += m
+            bars.append(bar)
+            if total >= limit:
+                total = max(least, total - limit)
+                bar += 1
+                closes.append((i, limit))
+        self.own = math.fsum(metrics[closes[-1][0] + 1 :]) if closes else self.own + math.fsum(metrics)
+        self.bar, self.total = bar, total
+        return self._ended(bars, closes)
+
+    def _times(self, ts: Sequence[int]) -> tuple[list[int], list[tuple[int, float]]]:
+        bars, closes, bar, limit = [], [], self.bar, self.threshold
+        if len(ts) and self.boundary is None:
+            self._add(ts[0], 0.0, None)
+        edge, step = self.boundary, self.spec.interval_ms
+        for i, t in enumerate(ts):
+            bars.append(bar)
+            if t >= edge:
+                edge += step
+                bar += 1
+                closes.append((i, limit))
+        self.bar, self.boundary = bar, edge
+        return self._ended(bars, closes)
+
     def _imbalance(self, metrics: Sequence[float], sides: Sequence[float | None]) -> tuple[list[int], list[tuple[int, float]]]:
         bars, closes, bar, total, own, limit = [], [], self.bar, self.total, self.own, self.threshold
         for i, (m, s) in enumerate(zip(metrics, sides, strict=True)):
@@ -154,10 +191,8 @@ class Fold:
                 self._learn(t, p)
                 bar, total, own, limit = self.bar, self.total, self.own, self.threshold
                 closes.append((i, limit))
-        self.total, self.own, self.filled = total, own, self.filled or bool(bars)
-        if closes:
-            self.filled = closes[-1][0] < len(bars) - 1
-        return bars, closes
+        self.total, self.own = total, own
+        return self._ended(bars, closes)
 
     def _runs(self, metrics: Sequence[float], sides: Sequence[float | None]) -> tuple[list[int], list[tuple[int, float]]]:
         bars, closes, bar, total, own, limit, towards = [], [], self.bar, self.total, self.own, self.threshold, self._towards
@@ -173,10 +208,8 @@ class Fold:
                 self._learn(t, p)
                 bar, total, own, limit = self.bar, self.total, self.own, self.threshold
                 closes.append((i, limit))
-        self.total, self.own, self.filled = total, own, self.filled or bool(bars)
-        if closes:
-            self.filled = closes[-1][0] < len(bars) - 1
-        return bars, closes
+        self.total, self.own = total, own
+        return self._ended(bars, closes)
 
     def dump(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "spec"}
