@@ -175,15 +175,13 @@ def near_duplicates(
     )
     comp = _link(scratch, members, nodes, info, texts, shingle, threshold)
 
+    # classes get their component among themselves, so that only one join has a row per document
+    named = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("comp", "rep").alias("component_id"))
+    shingled = signed.where("h1 is not null").select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2"], "left")
+    empty = signed.where("h1 is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))  # these meet nothing
     out = (
-        signed.select("doc_id", "n_shingles", "h1", "h2")
-        .join(classes, ["h1", "h2"], "left")
-        .join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-        .select(
-            "doc_id",
-            "n_shingles",
-            F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "rep", "doc_id")).alias("component_id"),
-        )
+        shingled.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+        .union(empty)
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
     out = scratch.table(out, "out")
