@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barspark.llm.common import Scratch, slices
-from barspark.llm.tokens import broadcast_tokenizer, encoder
+from barspark.llm.tokens import broadcast_tokenizer, encoder, forget_encoders, id_width
 
 CAPACITY = 2048
 OPEN_BINS = 32_768
-PIECES_PER_TASK = 131_072
+#: A packing task's pieces, and its pieces that carry their ids (32 MB at most).
+PIECES_PER_TASK, PIECES_WITH_IDS = 131_072, 8192
 
 
 class OpenBins:
@@ -69,37 +70,41 @@ def pack_lengths(lengths: Iterable[int], capacity: int = CAPACITY, open_bins: in
     return [bins.place(n) for n in lengths]
 
 
-def _pieces(shared, capacity: int, end_id: int, with_ids: bool):
+def _pieces(shared, capacity: int, end_id: int, with_ids: bool, width: int):
     schema = pa.schema(
         [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
-        + ([("ids", pa.binary())] if with_ids else [])
+        + ([("number", pa.int64()), ("ids", pa.binary())] if with_ids else [])
     )
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(shared)
-        for batch in slices(batches, 4096):
+        enc, number = encoder(shared), TaskContext.get().partitionId() << 33
+        for batch in slices(batches, 1024 if with_ids else 4096):
             rows: list[tuple] = []
             for doc, ids in zip(batch.column(0).to_pylist(), enc.encode_all(batch.column(1)), strict=True):
                 raw = ids.tobytes() + end
                 for k, at in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[at : at + 4 * capacity]
-                    rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part), part)[: len(schema)])
+                    narrow = np.frombuffer(part, "<u4").astype("<u2").tobytes() if with_ids and width == 2 else part
+                    rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part), number, narrow)[: len(schema)])
+                    number += 1
             cols = zip(*rows, strict=True) if rows else ([] for _ in schema)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
     return run
 
 
-def _pack(capacity: int, open_bins: int):
+def _pack(capacity: int, open_bins: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()  # a worker that encoded before needs its memory for the rows now
         bins, first = OpenBins(capacity, open_bins), TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for batch in slices(batches, 1024):
             placed = [bins.place(n) for n in batch.column("length").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([first + b for b, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())],
-                names=[*batch.schema.names, "sequence_id", "offset"],
-            )
+            cols = list(batch.columns)
+            if "ids" in batch.schema.names and width == 2:
+                cols[-1] = pa.array([np.frombuffer(x.as_buffer(), "<u2").astype("<u4").tobytes() for x in cols[-1]], pa.binary())
+            cols += [pa.array([first + b for b, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names, "sequence_id", "offset"])
 
     return run
 
@@ -123,7 +128,8 @@ def pack_documents(
     alone). Only documents longer than ``capacity`` are cut, into pieces of that
     length; the last may be shorter. Returns ``doc_id, piece, start, length,
     ids_crc32, sequence_id, offset`` and, ``with_ids``, the piece's ids as
-    little-endian unsigned 32-bit bytes.
+    little-endian unsigned 32-bit bytes (written and exchanged in 16 bits where
+    the vocabulary allows).
 
     Texts, however long, are encoded once; the pieces are a written table.
     Lengths are dealt evenly to tasks of about ``pieces_per_task``, each with
@@ -136,11 +142,13 @@ def pack_documents(
     """
     scratch = Scratch(docs.sparkSession, "packing")
     shared = broadcast_tokenizer(docs.sparkSession, tokenizer_path)
-    kind = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
+    base, ids = "doc_id long, piece int, start long, length long, ids_crc32 long", ", ids binary" * with_ids
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    pieces = scratch.table(own.mapInArrow(_pieces(shared, capacity, end_id, with_ids), kind), "pieces")
-    tasks = max(1, -(-pieces.count() // pieces_per_task))
+    width = id_width(shared.value, end_id)
+    pieces = scratch.table(own.mapInArrow(_pieces(shared, capacity, end_id, with_ids, width), base + ids.replace(", ids", ", number long, ids")), "pieces")
+    tasks = max(1, -(-pieces.count() // (min(pieces_per_task, PIECES_WITH_IDS) if with_ids else pieces_per_task)))
     order = [F.desc("length"), "doc_id", "piece", "ids_crc32"]
-    dealt = pieces.repartition(tasks)
+    # rows with ids are dealt by a written number: dealing in turn would first sort the whole rows
+    dealt = pieces.repartition(tasks, "number").drop("number") if with_ids else pieces.repartition(tasks)
     dealt = dealt.sortWithinPartitions(*order) if longest_first else dealt
-    return dealt.mapInArrow(_pack(capacity, open_bins), f"{kind}, sequence_id long, offset long")
+    return dealt.mapInArrow(_pack(capacity, open_bins, width), f"{base}{ids}, sequence_id long, offset long")

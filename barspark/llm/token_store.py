@@ -17,7 +17,6 @@ is read by its block's row and its own frame; no other frame is decompressed.
 from __future__ import annotations
 
 import hashlib
-import json
 import warnings
 import zlib
 from collections.abc import Iterator
@@ -31,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barspark.llm.common import Scratch, slices
-from barspark.llm.tokens import broadcast_tokenizer, encoder, load_tokenizer
+from barspark.llm.tokens import broadcast_tokenizer, encoder, id_width, load_tokenizer
 
 #: The dictionary is fitted on at most this many texts (those of least hash), of
 #: a longer one on a window of that many characters at a hashed place. This
@@ -144,10 +143,7 @@ def write_token_store(
     """
     spark = docs.sparkSession
     shared = broadcast_tokenizer(spark, tokenizer_path)
-    spec = json.loads(shared.value)
-    vocab = spec["model"]["vocab"]
-    largest = max([end_id, *(vocab.values() if isinstance(vocab, dict) else [len(vocab)]), *(t["id"] for t in spec.get("added_tokens", []))])
-    width = 2 if largest < 1 << 16 else 4
+    width = id_width(shared.value, end_id)
     texts = _texts(docs, id_col, text_col)
     body = train_dictionary(texts, shared.value, width, end_id)
     (

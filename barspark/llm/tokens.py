@@ -15,7 +15,7 @@ import regex
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
-from barspark.llm.common import Memo
+from barspark.llm.common import Memo, release_memory
 
 #: Characters that Arrow splits at and tokenizers do not, or that join oddly.
 _ODD = r"[\x{1C}-\x{1F}\x{180E}\x{200B}-\x{200D}\x{2060}\x{FEFF}]"
@@ -39,6 +39,14 @@ def broadcast_tokenizer(spark: SparkSession, path: str) -> Broadcast:
     return spark.sparkContext.broadcast(Path(path).read_text(encoding="utf-8"))
 
 
+def id_width(text: str, *more: int) -> int:
+    """Bytes, 2 or 4, that hold every id of a tokenizer file and these more."""
+    spec = json.loads(text)
+    vocab = spec["model"]["vocab"]
+    largest = max([*more, *(vocab.values() if isinstance(vocab, dict) else [len(vocab)]), *(t["id"] for t in spec.get("added_tokens", []))])
+    return 2 if largest < 1 << 16 else 4
+
+
 def load_tokenizer(text: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -218,3 +226,9 @@ def encoder(shared: Broadcast) -> Encoder:
         _encoders.clear()
         _encoders[key] = Encoder(shared.value)
     return _encoders[key]
+
+
+def forget_encoders() -> None:
+    """Free this worker's encoders; a later task loads them again."""
+    _encoders.clear()
+    release_memory()
