@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from barspark.functions.chi2 import chi2_sf
+from barspark.operators.bars import written
 
 MOST_LAGS = 10
 
@@ -76,7 +77,11 @@ def fragmentation(bars: DataFrame, key: Sequence[str] = ()) -> DataFrame:
 
 
 def quality_report(bars: DataFrame, key: Sequence[str] = (), lags: int | None = None, day_length_ms: int = 86_400_000) -> DataFrame:
-    """All diagnostics, one row per key."""
+    """All diagnostics, one row per key.
+
+    The bars are written once, since several aggregates and windows read them.
+    """
+    bars = written(bars.select(*key, "bar_id", "close", "bar_type", "num_ticks", "open_ts"))
     out = bars.groupBy(*key).agg(F.count(F.lit(1)).alias("n_bars"))
     parts = [autocorrelation(bars, key, lags), normality(bars, key).drop("n_returns"), stability(bars, key, day_length_ms), fragmentation(bars, key)]
     for part in parts:

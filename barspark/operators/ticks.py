@@ -38,7 +38,7 @@ def sequence_window(key: Sequence[str], order: Sequence[str]):
 
 
 def _guard(value: Column, bad: Column, what: str) -> Column:
-    return F.when(bad, F.raise_error(F.concat(F.lit(f"{what}: "), value.cast("string")))).otherwise(value)
+    return F.when(bad, F.raise_error(F.concat(F.lit(f"{what}: "), F.coalesce(value.cast("string"), F.lit("null"))))).otherwise(value)
 
 
 def _bad_number(x: Column) -> Column:
