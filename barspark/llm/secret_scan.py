@@ -155,7 +155,8 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     Spans are ``kind:start:end`` in code points, end exclusive. Linking works
     within a document, so there is no exchange. Null and empty texts have no
-    spans; repeated rows have a row each; other columns are not looked at.
+    spans; very long ones are scanned whole; repeated rows have a row each;
+    other columns are not looked at; an empty table gives no rows.
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
@@ -189,7 +190,9 @@ def redact_documents(docs: DataFrame, *, text_col: str = "text", length_col: str
     """``docs`` with every span of the ``HIDDEN`` kinds replaced; all rows stay.
 
     Where there is a ``length_col``, it gets the new text's code points in the
-    rows whose text changed.
+    rows whose text changed. Null and empty texts stay as they are; very long
+    ones are scanned whole; repeated rows are redacted alike; columns may have
+    any names and types; an empty table gives no rows.
     """
     at, size_at = docs.columns.index(text_col), docs.columns.index(length_col) if length_col in docs.columns else None
 

@@ -116,7 +116,9 @@ def shard_documents(docs: DataFrame, shards: int = 8, *, id_col: str = "doc_id",
     The law is ``bytes``: shards hold near equal sums of ``size``, the text's
     UTF-8 bytes (null: none) plus 1. Equal texts share a shard unless a boundary
     would then lie over 1% of a shard from its place; such a group is parted by
-    id. Rows equal in text and id cannot be told apart and stay together. Slots
+    id. Rows equal in text and id (also those with a null id) cannot be told
+    apart and stay together; texts of any length count whole; other columns are
+    carried in ``row`` and never looked at. Slots
     count from 0 without gaps. Rows are exchanged once, by shard and the key's
     bin (some 65,000 in all), so a shard's sort is not one task's; the broadcast
     slot bases are one row per bin. An empty table gives no rows.

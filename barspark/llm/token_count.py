@@ -165,8 +165,10 @@ def count_tokens(
     """``doc_id, n_bytes, n_tokens, over_limit`` of every row's whole text.
 
     Counts are those of the library without added special tokens. Null and empty
-    texts have 0 bytes and 0 tokens; repeated rows have a row each; other columns
-    are not looked at; an empty table gives no rows.
+    texts have 0 bytes and 0 tokens; a very long one is counted whole, in a chunk
+    of its own; repeated rows have a row each; other columns are not looked at;
+    an empty table gives no rows. The last step's groups are chunks: they hold
+    ``chunk_bytes`` of text (or one longer document), however large the input.
     """
     scratch = Scratch(docs.sparkSession, "token-count")
     shared = broadcast_tokenizer(docs.sparkSession, tokenizer_path)
