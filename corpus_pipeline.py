@@ -1,7 +1,12 @@
 """A corpus pipeline of five operators, each stage written and reread.
 
 Every stage takes ``(spark, docs, sf_dir)`` and works on all rows of ``docs``;
-all but the last return the columns of ``documents``.
+all but the last return the columns of ``documents``. Texts of any length are
+worked on whole, and an empty table gives no rows. Rows without text: the first
+stage rejects them, the others keep them (near_dedup alone each, secret_scans as
+they are, source_mixing as often as their source's rate says, best_fit_packing
+as an end id). Repeated rows: near_dedup keeps or drops rows of one id alike,
+the others treat each as a row.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ MOST_BROADCAST_IDS = 2_000_000
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality policy rejects go."""
+    """Documents that the quality policy v2 rejects go; it holds no least length but a word."""
     return keep_by_policy(docs, "v2")
 
 

@@ -567,3 +567,14 @@ def test_odd_column_names(spark):
     assert B.build_bars(df, spec, key=["my key, odd"], order=["timestamp", "the order"]).columns[0] == "my key, odd"
     assert B.build_bars(df, spec, key=["my key, odd"], order=["timestamp", "the order"]).count() >= 3
     assert calibrate.ewma_seeds(df, "run", key=["my key, odd"]).count() == 1
+
+
+def test_bars_by_a_table_function(spark):
+    from barspark.streaming.udtf import register_bars
+
+    df = table(spark, noise(200, 4, ("a", "b"))).drop("side")
+    df.createOrReplaceTempView("trades")
+    spec = BarSpec("run", "volume", Ewma(20, None, 20.0, 0.5))
+    register_bars(spark, "my_bars", spec)
+    got = spark.sql("SELECT * FROM my_bars(TABLE(SELECT sym, timestamp, price, volume FROM trades) PARTITION BY sym ORDER BY timestamp)")
+    assert bars_of(got, "sym") == bars_of(B.build_bars(df, spec, key=["sym"]), "sym") != []
