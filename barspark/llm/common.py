@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 _MASK = (1 << 64) - 1
@@ -116,11 +117,25 @@ def mix(x: np.ndarray, seed: int) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The same rows in smaller batches, so that few texts are Python strings at a time."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that few and not too long texts are Python strings at a time.
+
+    A batch has at most ``rows`` rows and ``most_bytes`` of text, or one row.
+    """
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        ends = None
+        if batch.nbytes > most_bytes:
+            texts = [c for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_large_string(c.type) or pa.types.is_binary(c.type)]
+            each = sum(pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in texts)
+            ends = np.cumsum(each) if texts else None
+        at = 0
+        while at < batch.num_rows:
+            n = rows
+            if ends is not None:
+                before = ends[at - 1] if at else 0
+                n = min(rows, max(1, int(np.searchsorted(ends, before + most_bytes, "right")) - at))
+            yield batch.slice(at, n)
+            at += n
     release_memory()
 
 

@@ -226,3 +226,13 @@ def test_tables_are_left_only_where_results_read_them(spark, tmp_path):
     assert out.count() == 3 and common._live[-1]._kept == {"out"}
     common.release_tables()
     assert not common._live
+
+
+def test_slices_bound_rows_and_bytes():
+    rnd = random.Random(7)
+    texts = ["x" * rnd.choice((0, 1, 10, 90, 250)) if rnd.random() < 0.9 else None for _ in range(500)]
+    batch = common.pa.RecordBatch.from_arrays([common.pa.array(range(500)), common.pa.array(texts)], names=["i", "t"])
+    got = list(common.slices(iter([batch, batch.slice(0, 0)]), 40, 200))
+    assert [t for g in got for t in g.column(1).to_pylist()] == texts
+    assert all(0 < g.num_rows <= 40 for g in got)
+    assert all(g.num_rows == 1 or sum(len(t or "") for t in g.column(1).to_pylist()) <= 200 for g in got)
