@@ -18,6 +18,7 @@ Plan, for N documents of which C lie in a bucket with another one:
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,10 +33,10 @@ from barspark.llm.components import connected_components
 from barspark.llm.sketch import SHINGLE, band_keys, overlap, shingle_set, sketch
 
 BANDS, ROWS, BITS = 56, 6, 512
-#: Bits of 512 that may differ. At similarity 0.75 64 +- 7.5 differ; more than
-#: 108 have a probability below 1e-8.
-MOST_DIFFERENT = 108
 THRESHOLD = 75
+#: Standard deviations by which the differing bits may exceed their mean; more has
+#: a probability below 1e-8.
+DEVIATIONS = 6
 STAR_ROUNDS = 6
 #: Star rounds end once the pairs across components are at most this many a row, and this many beside.
 CROSS_A_ROW, CROSS_FREE = 16, 200_000
@@ -117,12 +118,21 @@ def _short_sets_link(threshold: int):
     return 100 * both >= threshold * (F.col("m_n") + F.col("c_n") - both)
 
 
+def most_different(threshold: int) -> int:
+    """Bits of ``BITS`` that may differ in a link: a coordinate's differ with probability (1 - similarity) / 2.
+
+    At similarity 0.75 64 +- 7.5 differ, and 108 may.
+    """
+    p = (100 - threshold) / 200
+    return int(BITS * p + DEVIATIONS * math.sqrt(BITS * p * (1 - p)))
+
+
 def _may_link(threshold: int):
     """Set sizes and bit summaries of two sides (m_, c_) allow a link."""
     different = sum((F.bit_count(F.col("m_bits")[i].bitwiseXOR(F.col("c_bits")[i])) for i in range(1, BITS // 64)),
                     F.bit_count(F.col("m_bits")[0].bitwiseXOR(F.col("c_bits")[0])))
     small, large = F.least("m_n", "c_n"), F.greatest("m_n", "c_n")
-    return (100 * small >= threshold * large) & (different <= MOST_DIFFERENT)
+    return (100 * small >= threshold * large) & (different <= most_different(threshold))
 
 
 def near_duplicates(
@@ -140,8 +150,9 @@ def near_duplicates(
     Two documents are linked when ``100 * |A & B| >= threshold * |A | B|`` on
     their sets of distinct ``shingle``-word shingles (A-Z lower-cased); a
     component is what links reach, named by its smallest ``doc_id``. A link at
-    exactly 0.75 is missed by the banding with probability
-    ``(1 - 0.75**rows)**bands`` (2e-5 by default), more similar ones with less.
+    the threshold t (as a share) is missed by the banding with probability
+    ``(1 - t**rows)**bands`` (2e-5 by default), more similar ones with less;
+    lower thresholds need more bands of fewer rows.
 
     Null or empty texts, or texts of white space only, have no shingles and are
     their own component. Rows with equal ``doc_id`` are one node. A row with a

@@ -1,6 +1,7 @@
 """Odd inputs of every operator, and the forms that large inputs take."""
 
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -220,6 +221,37 @@ def test_near_copies_of_few_shingles(spark):
     assert [got[i] for i in range(len(texts))] == want and want != list(range(len(texts)))
 
 
+def test_near_duplicates_at_a_lower_threshold(spark):
+    rnd, texts = random.Random(10), []
+    for k in range(60):  # pairs of 60 shingles, alike by 0.39 to 0.63
+        words = [f"k{k}w{i}" for i in range(64)]
+        cut = rnd.randint(14, 26)
+        texts += [" ".join(words), " ".join([*words[:-cut], *(f"y{k}_{j}" for j in range(cut))])]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    linked = [100 * len(a & b) >= 50 * len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs, threshold=50, bands=120, rows=3).collect()}
+    assert [got[i + 1] == i for i in range(0, len(texts), 2)] == linked and 10 < sum(linked) < 50
+    assert near_dup.most_different(75) == 108
+
+
+def test_linked_secrets_of_long_dense_texts():
+    rnd = random.Random(11)
+    mixed = lambda: "".join(rnd.choices("abcXYZ0123456789", k=24))
+    some = (lambda: "user=bob", mixed, lambda: "password=hunter22", lambda: f"{rnd.getrandbits(120):030x}", lambda: f"https://h.example/{mixed()}", lambda: "key: abcd", lambda: "of the river")
+    def text(n):
+        return " ".join(rnd.choice(some)() for _ in range(n))
+    for t in (text(n) for n in (0, 1, 2, 5, 30, 300)):
+        base = secret_scan.base_spans(t)
+        ends = [(m.start(), m.end()) for m in secret_scan.ENDPOINT.finditer(t)]
+        weak = {s for s in secret_scan.linked_spans(t, base) if s[2] == "weak"}
+        assert not any(a < w[1] and w[0] < b for w in weak for a, b in [*(s[:2] for s in base), *ends])
+    long = text(60_000)  # minutes if each part were held against all others
+    start = time.monotonic()
+    assert len(secret_scan.scan(long)[1]) > 40_000
+    assert time.monotonic() - start < 30
+
+
 def test_tables_are_left_only_where_results_read_them(spark, tmp_path):
     docs = frame(spark, [(0, "a b c d e f g h"), (1, "a b c d e f g h"), (2, "a b c d e f g h i")])
     out = near_dup.near_duplicates(docs)
