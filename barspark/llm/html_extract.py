@@ -11,7 +11,8 @@ stops where such a part begins or ends, and clustered by a threshold; a region
 is content if it holds a line of the content cluster, and the text is that of
 all lines of the content regions, in page order.
 
-Time and memory grow in proportion to the page, however deeply it is nested.
+Time and memory grow in proportion to the page, however deeply it is nested and
+however many of its tags, comments and sections never end.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from __future__ import annotations
 import math
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from html import unescape
 from html.parser import HTMLParser
 from typing import NamedTuple
 
@@ -87,6 +89,7 @@ class _Lines(HTMLParser):
         self.regions = 0
         self.parts: list[str] = []
         self.tags = self.links = 0
+        self.endless: set[str] = set()  # kinds of which a part has no end
 
     def _top(self) -> tuple[str, bool, int, int, bool]:
         return self.stack[-1] if self.stack else ("", False, 0, 0, False)
@@ -99,12 +102,36 @@ class _Lines(HTMLParser):
 
     def parse_html_declaration(self, i: int) -> int:
         # As HTML has it, a bogus comment up to ">"; the library's parser raises on names it does not know.
-        if self.rawdata.startswith("<![", i) and self.rawdata[i : i + 9].lower() != "<![cdata[":
-            return self.parse_bogus_comment(i)
+        if self.rawdata.startswith("<![", i):
+            if self.rawdata[i : i + 9].lower() != "<![cdata[":
+                return self.parse_bogus_comment(i)
+            return self._unless_endless("section", super().parse_html_declaration, i)
         return super().parse_html_declaration(i)
 
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        return self._unless_endless("comment", super().parse_comment, i)
+
+    def _unless_endless(self, kind: str, parse: Callable[[int], int], i: int) -> int:
+        """Where the part ends, or -1; the page is there whole, so an end that one part lacks no later one has."""
+        end = -1 if kind in self.endless else parse(i)
+        if end < 0:
+            self.endless.add(kind)
+        return end
+
+    def read(self, html: str) -> None:
+        """The whole page. All tags, comments and declarations end with ">", so what follows the last one is text."""
+        end = html.rfind(">") + 1
+        try:
+            self.feed(html[:end])
+            self.close()
+        except (AssertionError, ValueError):  # an open declaration at the page's end
+            pass
+        if end < len(html):
+            self.handle_data(unescape(html[end:]))
+        self.end_line()
+
     def _end_head(self) -> None:
-        if self.stack and self.stack[-1][0] == "head":
+        while self.stack and self.stack[-1][0] == "head":
             self.end_line()
             self._close(len(self.stack) - 1)
 
@@ -185,12 +212,7 @@ def _marked(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) ->
 def page_lines(html: str) -> tuple[list[Line], list[float]]:
     """The page's lines and the factor of each one's ratio."""
     parser = _Lines()
-    try:
-        parser.feed(html)
-        parser.close()
-    except (AssertionError, ValueError):  # an open declaration at the page's end
-        pass
-    parser.end_line()
+    parser.read(html)
     lines, marks = parser.lines, parser.marks
     held = [0] * len(marks)
     for line in lines:

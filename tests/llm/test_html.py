@@ -122,6 +122,41 @@ def test_deep_nesting_takes_linear_time(html):
     assert time.process_time() - start < 8
 
 
+@pytest.mark.parametrize("part", ["<!--", "<!-- y >", "<a ", "<![", "<![CDATA[ x >", "<?", "</", '<a x="', "&", "<script>"])
+@pytest.mark.parametrize("end", ["", ">"])
+def test_parts_without_end_take_linear_time(part, end):
+    start = time.process_time()
+    H.extract("<p>some words here</p>" + part * 100_000 + end)
+    assert time.process_time() - start < 8
+
+
+def test_parts_without_end_are_read_as_the_library_reads_them():
+    class Plain(H._Lines):
+        def parse_comment(self, i, report=1):
+            return H.HTMLParser.parse_comment(self, i, report)
+
+        def _unless_endless(self, kind, parse, i):
+            return parse(i)
+
+        def read(self, html):
+            try:
+                self.feed(html)
+                self.close()
+            except (AssertionError, ValueError):
+                pass
+            self.end_line()
+
+    rnd = random.Random(12)
+    some = ("<!--", "-->", ">", "<", "<a ", '<a href="x">', "</a>", "<p>", "</p>", "&amp;", "&am", "text ", '"', "<![CDATA[", "]]>", "<?", "</", "<!", "<nav>", "</nav>", "\n", "<script>", "</script>")
+    for _ in range(4000):
+        html = "".join(rnd.choice(some) for _ in range(rnd.randint(1, 14)))
+        one, other = Plain(), H._Lines()
+        one.read(html)
+        other.read(html)
+        assert [x._replace(link_chars=0) for x in one.lines] == [x._replace(link_chars=0) for x in other.lines], html
+    assert H.extract("<p>one word</p><p>a < b <c and then") == "one word a < b <c and then"
+
+
 def test_long_page():
     para = "many words stand here " * 50
     got = H.extract("<body><article>" + f"<p>{para}</p>" * 10_000 + "</article>")
