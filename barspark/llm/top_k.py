@@ -66,7 +66,7 @@ class Tree:
     def products(self, queries: np.ndarray, a: int, b: int) -> np.ndarray:
         """Exact integer inner products with rows a to b, saturated to 64 bits."""
         own = self.vectors[a:b]
-        most = float(np.abs(queries).max(initial=0)) * float(np.abs(own).max(initial=0)) * own.shape[1]
+        most = _largest(queries) * _largest(own) * own.shape[1]
         if most < 2**53:
             return (queries.astype(np.float64) @ own.T.astype(np.float64)).astype(np.int64)
         if most < 2**63:
@@ -138,6 +138,11 @@ class Tree:
         return score, who
 
 
+def _largest(x: np.ndarray) -> float:
+    """The largest size of an entry; the least 64-bit integer has no absolute value in 64 bits."""
+    return max(float(x.max(initial=0)), -float(x.min(initial=0)))
+
+
 def _rank(s: np.ndarray) -> np.ndarray:
     """Descending dense ranks, for scores that doubles cannot tell apart."""
     values, place = np.unique(s, return_inverse=True)

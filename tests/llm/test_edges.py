@@ -120,9 +120,12 @@ def test_top_k_in_blocks(spark, monkeypatch, most):
     assert {tuple(r) for r in got} == brute_top(rows, 4, 45) and len(got) == 80
 
 
-def test_top_k_of_saturated_scores(spark):
+@pytest.mark.parametrize("least_alone", [False, True])
+def test_top_k_of_saturated_scores(spark, least_alone):
     big = 2.0**60
     values = {0: [big, big], 1: [-big, -big], 2: [big, big], 3: [1.0, 2.0], 50: [-big, big], 51: [3.0, -big]}
+    if least_alone:  # the only large entries are the least integer, which has no absolute value
+        values = {0: [-big, 1.0], 1: [1.0, 2.0], 2: [3.0, 1.0], 3: [-big, 2.0], 50: [2.0, 2.0]}
     table = spark.createDataFrame(list(values.items()), "vec_id long, embedding array<double>")
     rows = [(i, [max(-(2**63), min(2**63 - 1, int(256 * x))) for x in v]) for i, v in values.items()]
     assert {tuple(r) for r in top_k.top_k(table, k=5, every=50).collect()} == brute_top(rows, 5, 50)
