@@ -40,13 +40,6 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def delete_path(spark: SparkSession, path: str) -> None:
-    """Delete a folder by Hadoop's file system, so that remote stores work."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 _live: list[Scratch] = []
 
 
@@ -65,13 +58,15 @@ class Scratch:
     ``table`` writes a DataFrame as Parquet and returns the reread table: the
     lineage is cut, and the files outlive any executor. ``drop`` deletes those
     that the final plan does not read; the others are deleted when the driver
-    ends, or by ``release_tables`` once their results are no longer wanted.
+    ends (its session may be stopped by then), or by ``release_tables`` once their results are no longer wanted.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/barspark/{label}-{uuid.uuid4().hex}"
         self._kept: set[str] = set()
+        # Hadoop's own handles, which a stopped session leaves usable
+        self._jvm, self._conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         _live.append(self)
         atexit.register(self._at_exit)
 
@@ -85,18 +80,23 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         for name in names:
-            delete_path(self.spark, f"{self.root}/{name}")
+            self._delete(f"{self.root}/{name}")
             self._kept.discard(name)
 
     def drop_all_but(self, *names: str) -> None:
         self.drop(*(self._kept - set(names)))
 
+    def _delete(self, path: str) -> None:
+        """Delete a folder by Hadoop's file system, so that remote stores work."""
+        where = self._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self._conf).delete(where, True)
+
     def _at_exit(self) -> None:
         try:
             if self._kept:
-                delete_path(self.spark, self.root)
+                self._delete(self.root)
                 self._kept.clear()
-        except Exception:  # noqa: BLE001  the session may be gone by now
+        except Exception:  # noqa: BLE001  the JVM may be gone by now
             pass
 
 

@@ -1,9 +1,12 @@
 """Odd inputs of every operator, and the forms that large inputs take."""
 
 import random
+import subprocess
+import sys
 import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -263,6 +266,21 @@ def test_tables_are_left_only_where_results_read_them(spark, tmp_path):
     assert not common._live
 
 
+@pytest.mark.parametrize("last", ["spark.stop()", "pass"])
+def test_tables_go_when_the_driver_ends(tmp_path, last):
+    code = f"""
+from pyspark.sql import SparkSession
+from barspark.llm import near_dup
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", {str(tmp_path)!r}).getOrCreate()
+out = near_dup.near_duplicates(spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string"))
+assert out.inputFiles()[0].split(":", 1)[1].lstrip("/").startswith({str(tmp_path)!r}.lstrip("/")) and out.count() == 2
+{last}
+"""
+    root = str(Path(near_dup.__file__).parents[2])
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120, cwd=root)
+    assert not list(tmp_path.rglob("*.parquet"))
+
+
 def test_slices_bound_rows_and_bytes():
     rnd = random.Random(7)
     texts = ["x" * rnd.choice((0, 1, 10, 90, 250)) if rnd.random() < 0.9 else None for _ in range(500)]
