@@ -18,6 +18,8 @@ CAPACITY = 2048
 OPEN_BINS = 32_768
 #: A packing task's pieces, and its pieces that carry their ids (32 MB at most).
 PIECES_PER_TASK, PIECES_WITH_IDS = 131_072, 8192
+#: Text that is encoded at a time where pieces carry their ids (one document at least).
+PIECE_TEXT_BYTES = 4 << 20
 
 
 class OpenBins:
@@ -79,7 +81,7 @@ def _pieces(shared, capacity: int, end_id: int, with_ids: bool, width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, number = encoder(shared), TaskContext.get().partitionId() << 33
-        for batch in slices(batches, 1024 if with_ids else 4096):
+        for batch in slices(batches, 1024, PIECE_TEXT_BYTES) if with_ids else slices(batches, 4096):
             rows: list[tuple] = []
             for doc, ids in zip(batch.column(0).to_pylist(), enc.encode_all(batch.column(1)), strict=True):
                 raw = ids.tobytes() + end

@@ -47,6 +47,11 @@ def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(out)
 
 
+def forget_words() -> None:
+    """Free this worker's hashes of words; a later task computes them again."""
+    _word_hashes.clear()
+
+
 def sketch(elements: np.ndarray, t: int) -> np.ndarray:
     """``t`` coordinates of a non-empty set: round (high half) and value (low)."""
     n = len(elements)

@@ -16,6 +16,7 @@ from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
 from barspark.llm.common import Memo, release_memory
+from barspark.llm.sketch import forget_words
 
 #: Characters that Arrow splits at and tokenizers do not, or that join oddly.
 _ODD = r"[\x{1C}-\x{1F}\x{180E}\x{200B}-\x{200D}\x{2060}\x{FEFF}]"
@@ -224,6 +225,7 @@ def encoder(shared: Broadcast) -> Encoder:
     key = hash(shared.value)
     if key not in _encoders:
         _encoders.clear()
+        forget_words()  # a worker that sketched before needs its memory for the encoder now
         _encoders[key] = Encoder(shared.value)
     return _encoders[key]
 
