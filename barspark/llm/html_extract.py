@@ -12,7 +12,9 @@ is content if it holds a line of the content cluster, and the text is that of
 all lines of the content regions, in page order.
 
 Time and memory grow in proportion to the page, however deeply it is nested and
-however many of its tags, comments and sections never end.
+however many of its tags, comments and sections never end; but tags in a row
+whose quoted values hold ">", before a quote that nothing closes, take time with
+the square of their number.
 """
 
 from __future__ import annotations
