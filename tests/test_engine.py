@@ -463,6 +463,13 @@ def test_sink_with_a_callback(spark, tmp_path):
     assert [b["bar_id"] for b in seen] == list(range(10))
 
 
+def test_streamed_query_takes_ticks_by_time(spark):
+    from barspark import queries
+
+    run = lambda name: sorted(tuple(r) for r in queries.queries()[name](spark, "/root/testdata/sf0.001").collect())
+    assert run("stream_volume_bars") == run("volume_bars") != []
+
+
 def test_sources(spark, tmp_path):
     frame = sample(spark).toPandas()
     assert from_frame(spark, frame).count() == 500 and sample(spark).columns == ["timestamp", "price", "volume"]
