@@ -301,12 +301,14 @@ SESSIONS_SQL = """SELECT event_id AS seq,
 
 
 def _resume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bars of a run that stops, saves its state, and goes on with overlapping input."""
-    rows = events_ticks(spark, sf_dir).select("user_id", "timestamp", "price", "volume")
-    cut = rows.agg(F.percentile_approx("timestamp", 0.5).alias("t")).first()["t"]
-    spec = BarSpec("standard", "volume", Static(500.0))
-    first = resumable_bars(rows.where(F.col("timestamp") <= cut), spec, key="user_id")
-    second = resumable_bars(rows.where(F.col("timestamp") > cut - 5 * HOUR), spec, first.where("state is not null").select("user_id", "state"), key="user_id")
+    """Bars of a run that stops, saves its bars and state, and goes on with overlapping input."""
+    rows = events_ticks(spark, sf_dir).select("user_id", "timestamp", "seq", "price", "volume")
+    cut = rows.agg(F.percentile_approx("timestamp", 0.5).alias("t")).first()["t"] or 0
+    spec, options = BarSpec("standard", "volume", Static(500.0)), {"key": "user_id", "order": ("timestamp", "seq")}
+    first, path = resumable_bars(rows.where(F.col("timestamp") <= cut), spec, **options), f"{_scratch(spark)}/resume-{uuid.uuid4().hex}"
+    first.write.parquet(path)
+    first = spark.read.schema(first.schema).parquet(path)
+    second = resumable_bars(rows.where(F.col("timestamp") > cut - 5 * HOUR), spec, first.where("state is not null").select("user_id", "state"), **options)
     return first.where("state is null").union(second.where("state is null")).drop("state")
 
 

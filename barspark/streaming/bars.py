@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
@@ -15,15 +18,16 @@ from barspark.functions.calendars import Exchange
 from barspark.functions.fold import BarBuilder
 from barspark.model import BAR_COLUMNS, BarSpec
 
+FLUSH = 8192
+FED = ("timestamp", "price", "volume", "side", "watermark", "__out")
 
-def _feed(builder: BarBuilder, rows: pd.DataFrame) -> list[dict]:
-    out = []
-    side = rows["side"] if "side" in rows else [None] * len(rows)
-    mark = rows["watermark"] if "watermark" in rows else rows["timestamp"]
-    shut = rows["__out"] if "__out" in rows else [False] * len(rows)
-    for ts, p, v, s, w, o in zip(rows["timestamp"], rows["price"], rows["volume"], side, mark, shut, strict=True):
-        out += builder.update(int(ts), float(p), float(v), None if s is None or pd.isna(s) else float(s), int(w), bool(o))
-    return out
+
+def _feed(builder: BarBuilder, rows: dict[str, list]) -> Iterator[dict]:
+    """The bars that these ticks, lists by column, complete."""
+    ts = rows["timestamp"]
+    side, mark, shut = rows.get("side", [None] * len(ts)), rows.get("watermark", ts), rows.get("__out", [False] * len(ts))
+    for t, p, v, s, w, o in zip(ts, rows["price"], rows["volume"], side, mark, shut, strict=True):
+        yield from builder.update(int(t), float(p), float(v), None if s is None or s != s else float(s), int(w), bool(o))
 
 
 def _with_sessions(ticks: DataFrame, calendar) -> DataFrame:
@@ -69,12 +73,12 @@ def stream_bars(
             builder = BarBuilder.from_state(spec, state.get[0], watermark_key=watermark_key)
         else:
             builder = BarBuilder(spec, watermark_key=watermark_key, strict_ordering=strict_ordering, parity_drop=parity_drop)
-        bars = _feed(builder, pd.concat(list(frames)).sort_values(sort, kind="stable"))
+        rows = pd.concat(list(frames)).sort_values(sort, kind="stable")
+        bars = list(_feed(builder, {c: rows[c].tolist() for c in FED if c in rows}))
         state.update((builder.get_state(),))
-        out = pd.DataFrame(bars, columns=list(BAR_COLUMNS))
-        for i, (name, k) in enumerate(zip(key, keys, strict=True)):
-            out.insert(i, name, k)
-        yield out
+        if bars:
+            own = dict(zip(key, keys, strict=True))
+            yield pd.DataFrame([own | b for b in bars], columns=[*key, *BAR_COLUMNS])
 
     return ticks.groupBy(*key).applyInPandasWithState(run, _bar_schema(key, ticks), "state string", "append", GroupStateTimeout.NoTimeout)
 
@@ -97,21 +101,48 @@ def resumable_bars(
     """Batch with state in and out: rows ``key, state, bar columns``.
 
     Each key gives its completed bars (``state`` null) and one row with the
-    state to resume from; ``states`` holds ``key, state`` of an earlier run. The options are those of ``stream_bars``.
+    state to resume from; ``states`` holds ``key, state`` of an earlier run, one row a key. The options are those of ``stream_bars``.
+    One exchange by key and one external sort, then one pass over Arrow batches: it holds a batch, some
+    thousand bars and one key's open bar, however long a key is and however many there are.
     """
     ticks, sort = _with_sessions(ticks, calendar), _order(ticks, order, strict_ordering)
     if states is None:
         states = ticks.sparkSession.createDataFrame([], StructType([ticks.schema[key], StructField("state", StringType())]))
-
-    def run(keys: tuple, rows: pd.DataFrame, saved: pd.DataFrame) -> pd.DataFrame:
-        if len(saved):
-            builder = BarBuilder.from_state(spec, saved["state"].iloc[0], watermark_key=watermark_key)
-        else:
-            builder = BarBuilder(spec, watermark_key=watermark_key, strict_ordering=strict_ordering, parity_drop=parity_drop)
-        bars = _feed(builder, rows.sort_values(sort, kind="stable"))
-        out = pd.DataFrame([*bars, {}], columns=list(BAR_COLUMNS))
-        out.insert(0, "state", [None] * len(bars) + [builder.get_state()])
-        out.insert(0, key, keys[0])
-        return out
-
-    return ticks.groupBy(key).cogroup(states.groupBy(key)).applyInPandas(run, _bar_schema([key], ticks, "state"))
+    schema = _bar_schema([key], ticks, "state")
+    arrow = to_arrow_schema(schema)
+
+    def begun(state: str | None) -> BarBuilder:
+        if state is not None:
+            return BarBuilder.from_state(spec, state, watermark_key=watermark_key)
+        return BarBuilder(spec, watermark_key=watermark_key, strict_ordering=strict_ordering, parity_drop=parity_drop)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[dict] = []
+        builder, own = None, None
+        for batch in batches:
+            keys = batch.column(key)
+            codes = keys.dictionary_encode(null_encoding="encode").indices.to_numpy()
+            edges = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), batch.num_rows] if batch.num_rows else []
+            saved = batch.column("state")
+            rows = {c: batch.column(c).to_pylist() for c in FED if c in batch.schema.names}
+            for a, b in zip(edges, edges[1:], strict=False):
+                if builder is None or not keys.slice(a, 1).equals(own):
+                    if builder is not None:
+                        out.append({key: own[0].as_py(), "state": builder.get_state()})
+                    own, builder = keys.slice(a, 1), begun(saved[a].as_py())
+                first, value = a + saved[a].is_valid, own[0].as_py()
+                for bar in _feed(builder, {c: x[first:b] for c, x in rows.items()}):
+                    out.append({key: value} | bar)
+                    if len(out) >= FLUSH:
+                        yield pa.RecordBatch.from_pylist(out, arrow)
+                        out = []
+        if builder is not None:
+            out.append({key: own[0].as_py(), "state": builder.get_state()})
+        if out:
+            yield pa.RecordBatch.from_pylist(out, arrow)
+
+    used = [c for c in dict.fromkeys((*FED, *sort)) if c in ticks.columns and c != key]
+    saved = states.where("state is not null").select(F.col(key).cast(ticks.schema[key].dataType).alias(key), "state")
+    both = ticks.select(key, *used, F.lit(None).cast("string").alias("state")).unionByName(saved, allowMissingColumns=True)
+    place = [key, F.col("state").isNull(), *(F.col(c).asc_nulls_last() for c in sort if c != key)]  # a key's state, then its ticks
+    return both.repartition(F.col(key)).sortWithinPartitions(*place).mapInArrow(run, schema)

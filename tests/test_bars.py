@@ -173,6 +173,26 @@ def test_resumed_run_keeps_its_order(spark):
         resumable_bars(df.where("timestamp < 9000"), spec, states, **options).collect()
 
 
+def test_resumed_run_holds_one_batch(spark):
+    from barspark.streaming.bars import resumable_bars
+
+    df = spark.range(3000).selectExpr("CASE WHEN id % 50 = 0 THEN NULL ELSE id % 3 END AS sym", "id * 10 AS timestamp", "id % 7 + 1.0D AS price", "1.0D AS volume")
+    spec, options = BarSpec("standard", "tick", Static(7)), {"key": "sym"}
+    whole = B.build_bars(df, spec, key=["sym"])
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, "11")
+    try:
+        first = resumable_bars(df.where("timestamp <= 14000"), spec, **options)
+        assert "CoGroup" not in first._jdf.queryExecution().toString()  # a cogroup holds all rows of a key at a time
+        second = resumable_bars(df.where("timestamp > 9000"), spec, first, **options)
+        got = first.where("state is null").union(second.where("state is null")).drop("state").select(whole.columns)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, whole.collect())) and whole.count() == 428
+        assert second.where("state is not null").count() == 4
+    finally:
+        spark.conf.set(conf, before)
+
+
 def test_calibration(spark):
     df = ticks(spark, [10] * 10, [100] * 10)
     value = lambda kind, n: calibrate.fixed_threshold(df, kind, n).first()["threshold"]
