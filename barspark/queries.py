@@ -364,13 +364,13 @@ def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     third arrives when the query has ended with the one before, and the query goes on from its checkpoint.
     """
     base = f"{_scratch(spark)}/stream-{uuid.uuid4().hex}"
-    rows = events_ticks(spark, sf_dir).select("user_id", "timestamp", "price", "volume")
+    rows = events_ticks(spark, sf_dir).select("user_id", "timestamp", "seq", "price", "volume")
     cuts = rows.agg(F.percentile_approx("timestamp", [1 / 3, 2 / 3]).alias("t")).first()["t"] or []
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         part = rows if low is None else rows.where(F.col("timestamp") > low)
         (part if high is None else part.where(F.col("timestamp") <= high)).write.mode("append").parquet(f"{base}/in")
         source = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
-        bars = stream_bars(source, BarSpec("standard", "volume", Static(500.0)), key=KEY)
+        bars = stream_bars(source, BarSpec("standard", "volume", Static(500.0)), **OPTIONS)
         bars.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(bars.schema).parquet(f"{base}/out")
 

@@ -470,6 +470,15 @@ def test_streamed_query_takes_ticks_by_time(spark):
     assert run("stream_volume_bars") == run("volume_bars") != []
 
 
+def test_ties_go_by_event_in_streams(spark, tmp_path):
+    from barspark import queries
+
+    rows = spark.range(900).selectExpr("899 - id AS event_id", "timestamp_millis((899 - id) div 30 * 1000) AS ts", "id % 2 AS user_id", "'view' AS event_type", "CAST(id % 89 AS DOUBLE) AS value", """'{"k": 99}' AS props""")
+    rows.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    run = lambda name: sorted(tuple(r) for r in queries.queries()[name](spark, str(tmp_path)).collect())
+    assert run("stream_volume_bars") == run("resume_equals_full") == run("volume_bars") != []
+
+
 def test_sources(spark, tmp_path):
     frame = sample(spark).toPandas()
     assert from_frame(spark, frame).count() == 500 and sample(spark).columns == ["timestamp", "price", "volume"]
