@@ -12,6 +12,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -139,6 +140,25 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, most_bytes: int =
     release_memory()
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most_bytes: int) -> Iterator[None]:
+    """What is written within sends its rows to Python in Arrow batches of about ``most_bytes``, or one row.
+
+    By default Spark fills 10,000 rows or 64 MB, which the JVM and the worker
+    hold at once for each task. A smaller setting of the session stays, and the
+    session's own is restored afterwards.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    jvm = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils
+    if jvm.byteStringAsBytes(before) > most_bytes:
+        spark.conf.set(key, f"{most_bytes}b")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def release_memory() -> None:
     """Hand what this task freed back to the system before the worker idles."""
     pa.default_memory_pool().release_unused()

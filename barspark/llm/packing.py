@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from contextlib import nullcontext
 
 import numpy as np
 import pyarrow as pa
@@ -11,15 +12,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barspark.llm.common import Scratch, slices
-from barspark.llm.tokens import broadcast_tokenizer, encoder, forget_encoders, id_width
+from barspark.llm.common import Scratch, release_memory, slices, small_batches
+from barspark.llm.tokens import MOST_PIECES, broadcast_tokenizer, encoder, forget_encoders, id_width
 
 CAPACITY = 2048
 OPEN_BINS = 32_768
 #: A packing task's pieces, and its pieces that carry their ids (32 MB at most).
 PIECES_PER_TASK, PIECES_WITH_IDS = 131_072, 8192
-#: Text that is encoded at a time where pieces carry their ids (one document at least).
-PIECE_TEXT_BYTES = 4 << 20
+#: Where pieces carry their ids: text that comes in a batch and that is encoded at a time (one document at least),
+#: and pre-tokens that the encoder remembers (as many as a dict's table of 2**18 places takes).
+BATCH_BYTES, PIECE_TEXT_BYTES, REMEMBERED = 4 << 20, 2 << 20, 174_000
 
 
 class OpenBins:
@@ -80,7 +82,8 @@ def _pieces(shared, capacity: int, end_id: int, with_ids: bool, width: int):
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, number = encoder(shared), TaskContext.get().partitionId() << 33
+        enc = encoder(shared, REMEMBERED if with_ids else MOST_PIECES)
+        number = TaskContext.get().partitionId() << 33
         for batch in slices(batches, 1024, PIECE_TEXT_BYTES) if with_ids else slices(batches, 4096):
             rows: list[tuple] = []
             for doc, ids in zip(batch.column(0).to_pylist(), enc.encode_all(batch.column(1)), strict=True):
@@ -91,7 +94,11 @@ def _pieces(shared, capacity: int, end_id: int, with_ids: bool, width: int):
                     rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part), number, narrow)[: len(schema)])
                     number += 1
             cols = zip(*rows, strict=True) if rows else ([] for _ in schema)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+            out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+            del batch, rows, cols
+            if with_ids:  # else what this slice freed stays beside what the next one takes
+                release_memory()
+            yield out
 
     return run
 
@@ -147,7 +154,9 @@ def pack_documents(
     base, ids = "doc_id long, piece int, start long, length long, ids_crc32 long", ", ids binary" * with_ids
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     width = id_width(shared.value, end_id)
-    pieces = scratch.table(own.mapInArrow(_pieces(shared, capacity, end_id, with_ids, width), base + ids.replace(", ids", ", number long, ids")), "pieces")
+    cut = own.mapInArrow(_pieces(shared, capacity, end_id, with_ids, width), base + ids.replace(", ids", ", number long, ids"))
+    with small_batches(docs.sparkSession, BATCH_BYTES) if with_ids else nullcontext():
+        pieces = scratch.table(cut, "pieces")
     tasks = max(1, -(-pieces.count() // (min(pieces_per_task, PIECES_WITH_IDS) if with_ids else pieces_per_task)))
     order = [F.desc("length"), "doc_id", "piece", "ids_crc32"]
     # rows with ids are dealt by a written number: dealing in turn would first sort the whole rows

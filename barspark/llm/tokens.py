@@ -80,10 +80,10 @@ class Encoder:
     tokenizers.
     """
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, most_pieces: int = MOST_PIECES):
         self.tokenizer = load_tokenizer(text)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pieces = Memo(MOST_PIECES)
+        self.pieces = Memo(most_pieces)
         one, two = (self.tokenizer.encode(x, add_special_tokens=False).ids for x in ("Ab1", "c.d"))
         self.by_word = all(
             self.tokenizer.encode(f"{gap}Ab1{gap}c.d{gap}", add_special_tokens=False).ids == one + two
@@ -217,16 +217,17 @@ class Encoder:
             a = b
 
 
-_encoders: dict[int, Encoder] = {}
+_encoders: dict[tuple[int, int], Encoder] = {}
 
 
-def encoder(shared: Broadcast) -> Encoder:
+def encoder(shared: Broadcast, most_pieces: int = MOST_PIECES) -> Encoder:
     """This worker's encoder; it lives as long as the worker does."""
-    key = hash(shared.value)
+    key = hash(shared.value), most_pieces
     if key not in _encoders:
         _encoders.clear()
         forget_words()  # a worker that sketched before needs its memory for the encoder now
-        _encoders[key] = Encoder(shared.value)
+        release_memory()
+        _encoders[key] = Encoder(shared.value, most_pieces)
     return _encoders[key]
 
 

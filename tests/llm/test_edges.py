@@ -289,3 +289,57 @@ def test_slices_bound_rows_and_bytes():
     assert [t for g in got for t in g.column(1).to_pylist()] == texts
     assert all(0 < g.num_rows <= 40 for g in got)
     assert all(g.num_rows == 1 or sum(len(t or "") for t in g.column(1).to_pylist()) <= 200 for g in got)
+
+
+def test_packing_with_ids_gets_small_batches(spark, monkeypatch):
+    def checked(batches, *limits):
+        def small(batch):
+            assert batch.nbytes < 6 << 20
+            return batch
+
+        return common.slices(map(small, batches), *limits)
+
+    texts = [f"{'over the hill ' * 300}{i}" for i in range(3000)]
+    docs = frame(spark, enumerate(texts)).repartition(1)
+    fields, key = ("doc_id", "piece", "start", "length", "ids_crc32"), "spark.sql.execution.arrow.maxBytesPerBatch"
+    want, before = packing.pack_documents(docs, WORD).select(*fields).collect(), spark.conf.get(key)
+    monkeypatch.setattr(packing, "slices", checked)
+    got = packing.pack_documents(docs, WORD, with_ids=True).select(*fields)
+    assert spark.conf.get(key) == before
+    monkeypatch.undo()
+    assert sorted(got.collect()) == sorted(want) and len(want) == 3000
+
+
+@pytest.mark.skipif(not Path("/proc/self/smaps_rollup").exists(), reason="memory is read from Linux")
+def test_packing_worker_with_ids_stays_small():
+    code = f"""
+import random, re
+import pyarrow as pa
+from barspark.llm import packing
+
+class Shared:
+    value = open({WORD!r}, encoding="utf-8").read()
+
+class Task:
+    get = classmethod(lambda cls: cls)
+    partitionId = staticmethod(lambda: 0)
+
+def used():
+    return sum(map(int, re.findall(r"\\nPss_(?:Anon|Shmem):\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+def batches():
+    rnd = random.Random(3)
+    for k in range(6):  # 100,000 words that occur once
+        words = [hex(rnd.getrandbits(36))[2:].translate(letters) for _ in range(100_000)]
+        texts = [" ".join(words[i : i + 200]) for i in range(0, len(words), 200)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+
+packing.TaskContext, letters = Task, str.maketrans("0123456789", "ghijklmnop")
+packing.encoder(Shared)
+packing.forget_encoders()
+before = used()
+print(max(used() for _ in packing._pieces(Shared, 2048, 0, True, 2)(batches())) - before)
+"""
+    root = str(Path(__file__).parents[2])
+    said = subprocess.run([sys.executable, "-c", code], check=True, timeout=120, cwd=root, capture_output=True, text=True).stdout
+    assert float(said) < 130  # MB, the loaded encoder included
